@@ -45,19 +45,18 @@ def sensor_table(spark: SparkSession, model: SensorModel, padding: float | None
     return spark.range(1).select(F.inline(mount_array(model, padding)))
 
 
-def azimuths_deg(model: SensorModel, yaw_deg: Column) -> Column:
-    """Azimuths of one mount in degrees, in ray order."""
-    def evenly(first: float, step: float, count: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.lit(first) + yaw_deg + i * F.lit(step))
-
-    if model.azimuth_bands:
-        return F.concat(*[
-            evenly(float(first), float(step), floor((last - first) / step + 1e-6) + 1)
-            for first, last, step in model.azimuth_bands
-        ])
-    span = float(model.fov_max - model.fov_min) / model.azimuth_steps
-    degrees = evenly(float(model.fov_min), span, model.azimuth_count)
-    return F.transform(degrees, lambda a: F.rint(a * 100.0) / 100.0)
+def azimuth_deg(model: SensorModel, column: Column, yaw_deg: Column) -> Column:
+    """Azimuth of the ``column``-th ray of a row, in degrees."""
+    if not model.azimuth_bands:
+        step = float(model.fov_max - model.fov_min) / max(model.azimuth_steps, 1)
+        return F.rint((F.lit(float(model.fov_min)) + yaw_deg + column * F.lit(step)) * 100.0) / 100.0
+    angle, passed = None, 0
+    for first, last, step in model.azimuth_bands:
+        value = F.lit(float(first)) + yaw_deg + (column - passed) * F.lit(float(step))
+        passed += floor((last - first) / step + 1e-6) + 1
+        inside = column < passed
+        angle = F.when(inside, value) if angle is None else angle.when(inside, value)
+    return angle
 
 
 def ray_table(
@@ -65,15 +64,24 @@ def ray_table(
 ) -> DataFrame:
     """Ray ends and their integer walk: ``sensor, mount, ray_id, sx..sz, ex..ez, v0x..v0z, dx..dz, axis, length``.
 
-    Rays are numbered elevation first, then azimuth. Ends are settled to a micrometre before
-    they are put on the grid.
+    The grid of mounts, elevations and azimuths is one range whose index is taken apart. Rays
+    of a mount are numbered elevation first, then azimuth. Ends are settled to a micrometre
+    before they are put on the grid.
     """
-    elevations = F.array(*[F.lit(float(v)) for v in model.elevations_deg])
-    mounts = spark.range(1).select(F.inline(mount_array(model)))
-    rays = (
-        mounts.select("*", F.posexplode(elevations).alias("row", "elevation_deg"))
-        .select("*", F.posexplode(azimuths_deg(model, F.col("yaw_deg"))).alias("column", "azimuth_deg"))
-        .withColumn("ray_id", F.col("row") * model.azimuth_count + F.col("column"))
+    index, per_mount, per_row = F.col("id"), model.rays_per_mount, model.azimuth_count
+    ray_id = (index % per_mount).cast("int")
+    if not model.ray_count:
+        raise ValueError("the sensor model has no mounts left")
+    grid = spark.range(model.ray_count).select(
+        F.element_at(mount_array(model), (F.floor(index / per_mount) + 1).cast("int")).alias("m"),
+        ray_id.alias("ray_id"),
+        F.element_at(
+            F.array(*[F.lit(float(v)) for v in model.elevations_deg]), (F.floor(ray_id / per_row) + 1).cast("int")
+        ).alias("elevation_deg"),
+        (ray_id % per_row).alias("column"),
+    )
+    rays = grid.select(
+        "m.*", "ray_id", "elevation_deg", azimuth_deg(model, F.col("column"), F.col("m.yaw_deg")).alias("azimuth_deg")
     )
     start = (F.col("sx"), F.col("sy"), F.col("sz"))
     end = end_point(start, F.col("distance"), F.radians("azimuth_deg"), F.radians("elevation_deg"))

@@ -17,6 +17,7 @@ from scanmill.operators.samples import obb_samples
 from scanmill.operators.sensor_frame import points_single
 from scanmill.operators.tracks import track_boxes, track_records
 from scanmill.sources import writers
+from scanmill.sources.checkpoints import written
 from scanmill.sources.readers import split_folder
 
 # Output names; the two repeated label outputs are made on request only.
@@ -35,8 +36,8 @@ def build_dataset(
 ) -> dict[str, DataFrame]:
     """Lazy tables, one per requested output.
 
-    Pass a written ``scan`` (and ``labels``) to build on tables rather than on their recipes;
-    ``write_dataset`` does so, because every output starts from the scan.
+    Every output starts from the scan, and most read it more than once, so it is written to the
+    shared folder first. Pass a ``scan`` (and ``labels``) that is a table already to skip that.
     """
     outputs = list(outputs)
     unknown = sorted(set(outputs) - set(OUTPUTS))
@@ -45,6 +46,8 @@ def build_dataset(
     model = model.select(selected_sensors)
     if scan is None:
         scan = sparse_scan(points, model, bev.voxel_size, precision)
+        if outputs not in (["points_1f"], ["images_height"]):
+            scan = written(scan)
     scans = non_empty_scans(scan)
     if labels is None:
         labels = label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev)
@@ -84,7 +87,6 @@ def write_dataset(
     The scan and the label rows are written first and read back, so they are computed once
     and a lost executor costs a re-read. Returns output name -> folder.
     """
-    spark = frames.sparkSession
     root = path.rstrip("/")
     model = model.select(selected_sensors)
     wanted = sequences.select("sequence").distinct()
@@ -95,12 +97,8 @@ def write_dataset(
     threshold = options.pop("threshold", MIN_POINTS)
     if options:
         raise TypeError(f"unknown options {sorted(options)}")
-    sparse_scan(points, model, bev.voxel_size, precision).write.mode("overwrite").parquet(f"{root}/scan")
-    scan = spark.read.parquet(f"{root}/scan")
-    label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev).write.mode("overwrite").parquet(
-        f"{root}/label_rows"
-    )
-    labels = spark.read.parquet(f"{root}/label_rows")
+    scan = written(sparse_scan(points, model, bev.voxel_size, precision), f"{root}/scan")
+    labels = written(label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev), f"{root}/label_rows")
 
     tables = build_dataset(frames, points, boxes, model, outputs, None, bev, scan=scan, labels=labels)
     folders = {}

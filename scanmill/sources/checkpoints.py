@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a table.
-
-    The folder comes from ``spark.checkpoint.dir``; only where a session names none (as in
-    local tests) a scratch folder is set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only where a session names none, as in local
+    tests, a scratch folder is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: row order and partitions stay as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The table written once and read back; readers then prune columns and share the work.
+
+    Without a path it goes to the shared folder.
+    """
+    spark = df.sparkSession
+    target = path or f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(target)
+    return spark.read.schema(df.schema).parquet(target)

@@ -14,6 +14,7 @@ from scanmill.functions.voxels import voxel_index, walk_length
 from scanmill.operators import box_filter, first_hit, fusion, history, labels, range_image, rasters, samples
 from scanmill.operators import sensor_frame, splits, tracks, voxel_groups
 from scanmill.operators.rays import ray_cells
+from scanmill.sources.checkpoints import written
 from workbench import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,11 @@ def _scan(spark: SparkSession, d: str, model=SCALA, precision: str = "double") -
     return first_hit.sparse_scan(fx.points(spark, d), model, BEV.voxel_size, precision)
 
 
+def _scan_table(spark: SparkSession, d: str) -> DataFrame:
+    """The scan written once, for queries that read it more than once."""
+    return written(_scan(spark, d))
+
+
 def _labels(spark: SparkSession, d: str, scan: DataFrame) -> DataFrame:
     kept = box_filter.kept_boxes(scan, fx.boxes(spark, d), SCALA)
     return labels.label_rows(kept, SCALA)
@@ -181,34 +187,34 @@ def label_boxes(spark, d):
 
 @query
 def label_lines(spark, d):
-    scan = _scan(spark, d)
+    scan = _scan_table(spark, d)
     return labels.label_lines(_labels(spark, d, scan), labels.non_empty_scans(scan))
 
 
 @query
 def history_pairs(spark, d):
-    return history.history_pairs(labels.non_empty_scans(_scan(spark, d)))
+    return history.history_pairs(labels.non_empty_scans(_scan_table(spark, d)))
 
 
 @query
 def ego_motion(spark, d):
-    pairs = history.history_pairs(labels.non_empty_scans(_scan(spark, d)))
+    pairs = history.history_pairs(labels.non_empty_scans(_scan_table(spark, d)))
     moves = history.history_with_motion(pairs, fx.frames(spark, d))
     return moves.select("sequence", "sensor", "frame_index", "k", *MOTION_FIELDS)
 
 
 @query
 def points_2f(spark, d):
-    return fusion.fuse_frames(_scan(spark, d), fx.frames(spark, d), SCALA, 2)
+    return fusion.fuse_frames(_scan_table(spark, d), fx.frames(spark, d), SCALA, 2)
 
 
 @query
 def points_4f(spark, d):
-    return fusion.fuse_frames(_scan(spark, d), fx.frames(spark, d), SCALA, 4)
+    return fusion.fuse_frames(_scan_table(spark, d), fx.frames(spark, d), SCALA, 4)
 
 
 def _tracks(spark, d, n):
-    scan = _scan(spark, d)
+    scan = _scan_table(spark, d)
     boxes = tracks.track_boxes(_labels(spark, d, scan), labels.non_empty_scans(scan), fx.frames(spark, d), SCALA, n)
     documents = tracks.track_records(boxes)
     slots = documents.select("sequence_name", "sensor", "frame_index", "num_frames", F.inline("frames"))
@@ -235,7 +241,7 @@ def tracks_4f(spark, d):
 
 @query
 def tracks_wrapped(spark, d):
-    scan = _scan(spark, d)
+    scan = _scan_table(spark, d)
     pairs = history.history_pairs(labels.non_empty_scans(scan))
     moves = history.history_with_motion(pairs, fx.frames(spark, d))
     return tracks.moved_boxes(_labels(spark, d, scan), moves)
@@ -248,12 +254,12 @@ def raster_height(spark, d):
 
 @query
 def raster_overlap(spark, d):
-    return rasters.raster(_scan(spark, d), fx.frames(spark, d), SCALA, "overlap")
+    return rasters.raster(_scan_table(spark, d), fx.frames(spark, d), SCALA, "overlap")
 
 
 @query
 def raster_overlap_height(spark, d):
-    return rasters.raster(_scan(spark, d), fx.frames(spark, d), SCALA, "overlap_height")
+    return rasters.raster(_scan_table(spark, d), fx.frames(spark, d), SCALA, "overlap_height")
 
 
 @query

@@ -32,11 +32,6 @@ def place_xy(pose: PlanarPose, x: Column, y: Column) -> tuple[Column, Column]:
     return pose[0] + rx, pose[1] + ry
 
 
-def planar_pose(pose: Column) -> PlanarPose:
-    """Position and yaw of a row-major 4x4 pose; roll, pitch and z are dropped."""
-    return pose[3], pose[7], F.atan2(pose[4], pose[0])
-
-
 def planar_difference(a: PlanarPose, b: PlanarPose) -> PlanarPose:
     """Pose ``a`` as seen from pose ``b``."""
     dx, dy = rotate_xy(-b[2], a[0] - b[0], a[1] - b[1])

@@ -45,9 +45,11 @@ def compose(a: Motion, b: Motion) -> Motion:
     return out
 
 
-def relative_motion(source_pose: Column, target_pose: Column, convention: str = "vehicle_to_world") -> Motion:
-    """Motion that carries points of the source vehicle frame into the target vehicle frame."""
-    source, target = motion_of(source_pose), motion_of(target_pose)
+def relative_motion(source: Motion, target: Motion, convention: str = "vehicle_to_world") -> Motion:
+    """Motion that carries points of the source vehicle frame into the target vehicle frame.
+
+    Source and target are the two frames' poses.
+    """
     if convention == "vehicle_to_world":
         # The shift between the two positions is taken before it is turned: world
         # coordinates are large, their difference is not.
@@ -78,6 +80,11 @@ def apply_motion(m: Motion, x: Column, y: Column, z: Column) -> tuple[Column, Co
     )
 
 
+def planar_of(m: Motion) -> PlanarPose:
+    """Position and yaw in the plane; roll, pitch and z are dropped."""
+    return m["t0"], m["t1"], motion_yaw(m)
+
+
 def motion_yaw(m: Motion) -> Column:
     return F.atan2(m["r10"], m["r00"])
 
@@ -103,15 +110,16 @@ def to_sensor_xyz(
     return xs, ys, z - tz
 
 
-def into_sensor(tx: Column, ty: Column, tz: Column, yaw: Column) -> Motion:
-    """:func:`to_sensor_xyz` as a motion."""
-    c, s, zero, one = F.cos(yaw), F.sin(yaw), F.lit(0.0), F.lit(1.0)
-    return {
-        "r00": c, "r01": s, "r02": zero,
-        "r10": -s, "r11": c, "r12": zero,
-        "r20": zero, "r21": zero, "r22": one,
-        "t0": -(c * tx + s * ty), "t1": s * tx - c * ty, "t2": -tz,
-    }
+def into_sensor(m: Motion, tx: Column, ty: Column, tz: Column, yaw: Column) -> Motion:
+    """The motion followed by :func:`to_sensor_xyz`."""
+    c, s = F.cos(yaw), F.sin(yaw)
+    shifted = {**m, "t0": m["t0"] - tx, "t1": m["t1"] - ty, "t2": m["t2"] - tz}
+    out = dict(shifted)
+    for column in ("r00", "r01", "r02", "t0"):
+        below = column.replace("r0", "r1") if column != "t0" else "t1"
+        out[column] = c * shifted[column] + s * shifted[below]
+        out[below] = c * shifted[below] - s * shifted[column]
+    return out
 
 
 def to_vehicle_xyz(

@@ -30,24 +30,20 @@ def end_point(start: Triple, distance: Column, azimuth: Column, elevation: Colum
     )
 
 
-def ray_parameter(start: Triple, end: Triple, point: Triple) -> Column:
+def ray_parameter(start: Triple, direction: Triple, length_squared: Column, point: Triple) -> Column:
     """Position of the point's foot on the ray: 0 at the start, 1 at the end."""
-    d = _minus(end, start)
-    return _dot(_minus(point, start), d) / _dot(d, d)
+    return _dot(_minus(point, start), direction) / length_squared
 
 
-def ray_offset(start: Triple, end: Triple, point: Triple, t: Column) -> Column:
+def ray_offset(start: Triple, direction: Triple, point: Triple, t: Column) -> Column:
     """Distance between the point and its foot on the ray."""
-    d = _minus(end, start)
-    foot = tuple(start[i] + t * d[i] for i in range(3))
-    return norm(_minus(point, foot))
+    return norm(tuple(point[i] - (start[i] + t * direction[i]) for i in range(3)))
 
 
-def onto_ray(start: Triple, end: Triple, point: Triple) -> Triple:
+def onto_ray(start: Triple, direction: Triple, point: Triple) -> Triple:
     """The point of the ray that is as far from the start as ``point`` is."""
-    d = _minus(end, start)
-    length = norm(d)
+    length = norm(direction)
     scale = norm(_minus(point, start)) / F.when(length > 0, length).otherwise(
         F.raise_error(F.lit("a ray needs two distinct points")).cast("double")
     )
-    return tuple(start[i] + scale * d[i] for i in range(3))
+    return tuple(start[i] + scale * direction[i] for i in range(3))

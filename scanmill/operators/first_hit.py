@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scanmill.config import SensorModel
+from scanmill.functions.numbers import settled
 from scanmill.functions.rays import onto_ray, ray_offset, ray_parameter
 from scanmill.functions.voxels import minor_offset, voxel_index
 from scanmill.operators.rays import mount_array, ray_table
@@ -51,7 +52,9 @@ def _axis_views(x: str, y: str, z: str) -> Column:
 
 
 def _hashed_rays(rays: DataFrame) -> DataFrame:
-    kept = ("sensor", "ray_id", "length", "sx", "sy", "sz", "ex", "ey", "ez")
+    kept = ("sensor", "ray_id", "length", "sx", "sy", "sz", "ux", "uy", "uz", "uu")
+    rays = rays.withColumns({f"u{a}": F.col(f"e{a}") - F.col(f"s{a}") for a in "xyz"})
+    rays = rays.withColumn("uu", F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy") + F.col("uz") * F.col("uz"))
     rays = rays.select(*kept, "mount", F.col("axis").alias("driving"), F.inline(_axis_views("dx", "dy", "dz")))
     rays = rays.filter(F.col("axis") == F.col("driving"))
     span = F.greatest(F.col("length"), F.lit(1))
@@ -96,7 +99,7 @@ def ray_candidates(
     """All (point, ray) pairs where the ray's walk visits the point's voxel.
 
     ``points`` needs ``sequence, frame_index, point_ord, x, y, z`` and may have ``intensity``
-    (zero when absent). Adds ``sensor, ray_id, step, t, offset`` and the ray's two ends; points behind
+    (zero when absent). Adds ``sensor, ray_id, step, t, offset`` and the ray's start and direction; points behind
     the sensor are dropped.
     """
     rays = _hashed_rays(ray_table(points.sparkSession, model, voxel_size, precision))
@@ -107,9 +110,8 @@ def ray_candidates(
     seen = points.select(
         *FRAME, "point_ord", "x", "y", "z", intensity.cast("float").alias("intensity"),
         *[voxel_index(F.col(a), voxel_size, precision).alias(f"p{a}") for a in "xyz"],
-        F.explode(mount_array(model)).alias("m"),
-    )
-    offsets = {f"o{a}": F.col(f"p{a}") - voxel_index(F.col(f"m.s{a}"), voxel_size) for a in "xyz"}
+    ).select("*", F.explode(mount_array(model, voxel_size=voxel_size)).alias("m"))
+    offsets = {f"o{a}": F.col(f"p{a}") - F.col(f"m.v0{a}") for a in "xyz"}
     seen = seen.select(
         *FRAME, "point_ord", "x", "y", "z", "intensity",
         F.col("m.mount").alias("mount"), F.col("m.yaw").alias("yaw"),
@@ -136,13 +138,14 @@ def ray_candidates(
     pairs = seen.join(rays, "direction").filter(
         (F.col("step") <= F.col("length")) & visits("du", "u") & visits("dw", "w")
     )
-    start, end = (tuple(F.col(f"{p}{a}") for a in "xyz") for p in "se")
+    start, direction = (tuple(F.col(f"{p}{a}") for a in "xyz") for p in "su")
     point = tuple(F.col(a).cast("double") for a in "xyz")
-    pairs = pairs.withColumn("t", F.round(ray_parameter(start, end, point), 12)).filter(F.col("t") >= 0)
-    pairs = pairs.withColumn("offset", F.round(ray_offset(start, end, point, F.col("t")), 9))
+    t = settled(ray_parameter(start, direction, F.col("uu"), point), 12)
+    pairs = pairs.withColumn("t", t).filter(F.col("t") >= 0)
+    pairs = pairs.withColumn("offset", settled(ray_offset(start, direction, point, F.col("t")), 9))
     return pairs.select(
         *SCAN_KEYS, "ray_id", "step", "offset", "t", "point_ord", "x", "y", "z", "intensity",
-        "sx", "sy", "sz", "ex", "ey", "ez",
+        "sx", "sy", "sz", "ux", "uy", "uz",
     )
 
 
@@ -168,9 +171,9 @@ def sparse_scan(
     cannot hold more rows than the sensor has rays, so from here on one task may own whole
     scans; the repartition serves this grouping and the joins by scan that follow.
     """
-    start, end = (tuple(F.col(f"{p}{a}") for a in "xyz") for p in "se")
+    start, direction = (tuple(F.col(f"{p}{a}") for a in "xyz") for p in "su")
     point = tuple(F.col(a).cast("double") for a in "xyz")
-    moved = onto_ray(start, end, point)
+    moved = onto_ray(start, direction, point)
     hits = first_hits(points, model, voxel_size, precision).select(
         *SCAN_KEYS, "ray_id", *[v.cast("float").alias(a) for a, v in zip("xyz", moved)], "intensity"
     )

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanmill.functions.poses import relative_motion, rigid_pose
+from scanmill.functions.poses import (
+    MOTION_FIELDS, motion_columns, motion_of, planar_of, relative_motion, rigid_pose,
+)
 
 # Fixed value: current frame plus three earlier ones.
 MAX_FRAMES = 4
@@ -42,35 +44,46 @@ def history_pairs(scans: DataFrame, max_frames: int = MAX_FRAMES) -> DataFrame:
     """``sequence, sensor, frame_index, source_frame, k``: each non-empty scan with itself
     (k = 0) and up to ``max_frames - 1`` earlier non-empty ones, newest first.
 
-    Every scan offers itself to the next ranks and meets them on equal rank: no pair is
-    formed that is not kept.
+    Every scan offers itself to its own rank and the next ones. The offers on one rank, at most
+    ``max_frames`` rows, are that rank's history, and the offer with k = 0 names its frame:
+    no self-join is needed and no pair is formed that is not kept.
     """
     ranked = rank_in_group(scans.select("sequence", "sensor", "frame_index"), ["sequence", "sensor"], "frame_index")
     offers = ranked.select(
         "sequence", "sensor", F.col("frame_index").alias("source_frame"), "rank",
         F.explode(F.sequence(F.lit(0), F.lit(max_frames - 1))).alias("k"),
     ).withColumn("rank", F.col("rank") + F.col("k"))
-    pairs = ranked.join(offers, ["sequence", "sensor", "rank"])
+    slot = Window.partitionBy("sequence", "sensor", "rank")
+    owner = F.max(F.when(F.col("k") == 0, F.col("source_frame"))).over(slot)
+    pairs = offers.withColumn("frame_index", owner).filter(F.col("frame_index").isNotNull())
     return pairs.select("sequence", "sensor", "frame_index", "source_frame", "k")
 
 
 def history_with_motion(pairs: DataFrame, frames: DataFrame, convention: str = "vehicle_to_world") -> DataFrame:
-    """Pairs with both time stamps, both poses and the motion source frame -> target frame.
+    """Pairs with both time stamps, the motion source frame -> target frame, and both planar poses.
 
-    For k = 0 the motion is exactly the identity.
+    For k = 0 the motion is exactly the identity. Poses are taken apart into columns before
+    the joins, so that the rows that meet are flat.
     """
-    heads = frames.select("sequence", "frame_index", "timestamp_micros", rigid_pose(F.col("pose")).alias("pose"))
+    pose = motion_of(rigid_pose(F.col("pose")))
+    heads = frames.select("sequence", "frame_index", "timestamp_micros", *[v.alias(n) for n, v in pose.items()])
     source = heads.select(
-        "sequence", F.col("frame_index").alias("source_frame"),
-        F.col("timestamp_micros").alias("source_micros"), F.col("pose").alias("source_pose"),
+        "sequence", F.col("frame_index").alias("source_frame"), F.col("timestamp_micros").alias("source_micros"),
+        *[F.col(n).alias(f"source_{n}") for n in MOTION_FIELDS],
     )
     both = pairs.join(heads, ["sequence", "frame_index"]).join(source, ["sequence", "source_frame"])
-    motion = relative_motion(F.col("source_pose"), F.col("pose"), convention)
+    there, here = motion_columns("source_"), motion_columns()
     still = F.col("k") == 0
+    planar = {
+        f"{prefix}{field}": value
+        for prefix, m in (("here_", here), ("there_", there))
+        for field, value in zip(("x", "y", "yaw"), planar_of(m))
+    }
     return both.select(
-        *pairs.columns, "timestamp_micros", "source_micros", "pose", "source_pose",
+        *pairs.columns, "timestamp_micros", "source_micros",
         *[
             F.when(still, F.lit(1.0 if n in ("r00", "r11", "r22") else 0.0)).otherwise(v).alias(n)
-            for n, v in motion.items()
+            for n, v in relative_motion(there, here, convention).items()
         ],
+        *[v.alias(n) for n, v in planar.items()],
     )

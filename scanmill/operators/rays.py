@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanmill.config import SensorModel
+from scanmill.functions.numbers import settled
 from scanmill.functions.rays import end_point
 from scanmill.functions.voxels import driving_axis, voxel_index, walk_cell, walk_length, walk_steps
 
 
-def mount_array(model: SensorModel, padding: float | None = None) -> Column:
+def mount_array(model: SensorModel, padding: float | None = None, voxel_size: float | None = None) -> Column:
     """The model's mounts as a literal array of structs, to be exploded next to data.
 
     A rig has a handful of mounts; the fan-out needs neither a join nor a shuffle.
     ``tx`` is what the sensor-frame shift uses on x: ``padding - x``, or plain ``x`` without padding.
+    With a voxel size the mount's own cell comes along as ``v0x, v0y, v0z``.
     """
     structs = [
         F.struct(
@@ -34,6 +36,9 @@ def mount_array(model: SensorModel, padding: float | None = None) -> Column:
             F.lit(float(model.fov_min + m.yaw_deg)).alias("fov_min"),
             F.lit(float(model.fov_max + m.yaw_deg)).alias("fov_max"),
             F.lit(float(model.half_fov)).alias("half_fov"),
+            *([
+                F.lit(floor(float(v) / voxel_size)).alias(f"v0{a}") for a, v in zip("xyz", (m.x, m.y, m.z))
+            ] if voxel_size is not None else []),
         )
         for i, m in enumerate(model.mounts)
     ]
@@ -64,36 +69,27 @@ def ray_table(
 ) -> DataFrame:
     """Ray ends and their integer walk: ``sensor, mount, ray_id, sx..sz, ex..ez, v0x..v0z, dx..dz, axis, length``.
 
-    The grid of mounts, elevations and azimuths is one range whose index is taken apart. Rays
-    of a mount are numbered elevation first, then azimuth. Ends are settled to a micrometre
-    before they are put on the grid.
+    Rays of a mount are numbered elevation first, then azimuth. Ends are settled to a
+    micrometre before they are put on the grid.
     """
-    index, per_mount, per_row = F.col("id"), model.rays_per_mount, model.azimuth_count
-    ray_id = (index % per_mount).cast("int")
+    elevations = F.array(*[F.lit(float(v)) for v in model.elevations_deg])
     if not model.ray_count:
         raise ValueError("the sensor model has no mounts left")
-    grid = spark.range(model.ray_count).select(
-        F.element_at(mount_array(model), (F.floor(index / per_mount) + 1).cast("int")).alias("m"),
-        ray_id.alias("ray_id"),
-        F.element_at(
-            F.array(*[F.lit(float(v)) for v in model.elevations_deg]), (F.floor(ray_id / per_row) + 1).cast("int")
-        ).alias("elevation_deg"),
-        (ray_id % per_row).alias("column"),
-    )
-    rays = grid.select(
-        "m.*", "ray_id", "elevation_deg", azimuth_deg(model, F.col("column"), F.col("m.yaw_deg")).alias("azimuth_deg")
+    grid = spark.range(model.azimuth_count).select(
+        F.col("id").cast("int").alias("column"), F.inline(mount_array(model, voxel_size=voxel_size))
     )
+    rays = grid.select("*", F.posexplode(elevations).alias("row", "elevation_deg"))
     start = (F.col("sx"), F.col("sy"), F.col("sz"))
-    end = end_point(start, F.col("distance"), F.radians("azimuth_deg"), F.radians("elevation_deg"))
+    azimuth = F.radians(azimuth_deg(model, F.col("column"), F.col("yaw_deg")))
+    end = end_point(start, F.col("distance"), azimuth, F.radians("elevation_deg"))
     rays = rays.select(
-        "sensor", "mount", "ray_id", "sx", "sy", "sz",
-        *[F.round(e, 6).alias(f"e{a}") for a, e in zip("xyz", end)],
+        "sensor", "mount", (F.col("row") * model.azimuth_count + F.col("column")).alias("ray_id"),
+        "sx", "sy", "sz", "v0x", "v0y", "v0z", *[settled(e, 6).alias(f"e{a}") for a, e in zip("xyz", end)],
     )
-    for a in "xyz":
-        rays = rays.withColumn(f"v0{a}", voxel_index(F.col(f"s{a}"), voxel_size))
-        rays = rays.withColumn(f"d{a}", voxel_index(F.col(f"e{a}"), voxel_size, precision) - F.col(f"v0{a}"))
-    deltas = [F.col(f"d{a}") for a in "xyz"]
-    rays = rays.withColumn("axis", driving_axis(*deltas)).withColumn("length", walk_length(*deltas))
+    deltas = {f"d{a}": voxel_index(F.col(f"e{a}"), voxel_size, precision) - F.col(f"v0{a}") for a in "xyz"}
+    rays = rays.withColumns(deltas)
+    triple = [F.col(d) for d in deltas]
+    rays = rays.withColumns({"axis": driving_axis(*triple), "length": walk_length(*triple)})
     # A ray without extent has no direction; all rays of a model are equally long.
     return rays if model.distance >= 1e-6 else rays.limit(0)
 

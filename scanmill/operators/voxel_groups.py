@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scanmill.functions.numbers import settled
 from scanmill.functions.voxels import voxel_index
 
 FRAME = ("sequence", "frame_index")
@@ -30,7 +31,7 @@ def voxel_nearest(points: DataFrame, size: float = 0.1, precision: str = "double
     """
     placed = with_voxel(points, size, precision)
     away = [F.col(a).cast("double") - (F.col(f"v{a}") + 0.5) * size for a in "xyz"]
-    distance = F.round(F.sqrt(sum((d * d for d in away[1:]), away[0] * away[0])), 9)
+    distance = settled(F.sqrt(sum((d * d for d in away[1:]), away[0] * away[0])), 9)
     best = Window.partitionBy(*FRAME, *VOXEL).orderBy("_distance", "point_ord")
     return (
         placed.withColumn("_distance", distance)

@@ -11,6 +11,7 @@ from scanmill.config import BEV, Bev, SensorModel
 from scanmill.operators.box_filter import MIN_POINTS, kept_boxes
 from scanmill.operators.first_hit import sparse_scan
 from scanmill.operators.fusion import fuse_frames
+from scanmill.operators.history import history_pairs
 from scanmill.operators.labels import label_lines, label_rows, non_empty_scans
 from scanmill.operators.rasters import raster
 from scanmill.operators.samples import obb_samples
@@ -52,19 +53,24 @@ def build_dataset(
     if labels is None:
         labels = label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev)
 
+    # One row per scan and slot, used by every output that looks back.
+    looks_back = [o for o in outputs if o not in ("points_1f", "images_height") and not o.startswith("labels")]
+    pairs = written(history_pairs(scans)) if looks_back else None
+
     tables: dict[str, DataFrame] = {}
     for name in outputs:
         kind, _, detail = name.partition("_")
         if kind == "labels":
             tables[name] = label_lines(labels, scans)
         elif kind == "images":
-            tables[name] = raster(scan, frames, model, detail, bev)
+            tables[name] = raster(scan, frames, model, detail, bev, pairs=pairs)
         elif name == "points_1f":
             tables[name] = points_single(scan, model, bev)
         elif kind == "points":
-            tables[name] = fuse_frames(scan, frames, model, int(detail[0]), bev)
+            tables[name] = fuse_frames(scan, frames, model, int(detail[0]), bev, pairs=pairs)
         else:
-            tables[name] = track_records(track_boxes(labels, scans, frames, model, int(detail[0]), bev))
+            boxes_back = track_boxes(labels, scans, frames, model, int(detail[0]), bev, pairs=pairs)
+            tables[name] = track_records(boxes_back)
     return tables
 
 

@@ -25,6 +25,12 @@ WHOLE = ("tinyint", "smallint", "int", "bigint")
 REAL = ("float", "double")
 
 
+def rounded(value):
+    """Six decimals, half away from zero, never -0.0."""
+    whole = F.floor(F.abs(value) * 1e6 + 0.5)
+    return F.when(value < 0, -whole).otherwise(whole) / F.lit(1e6)
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Whole numbers as longs, reals as doubles of six decimals without a negative zero."""
     out = []
@@ -33,7 +39,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if kind in WHOLE:
             col = col.cast("long")
         elif kind in REAL:
-            col = F.round(col.cast("double"), 6) + F.lit(0.0)
+            col = rounded(col.cast("double"))
         out.append(col.alias(name))
     return df.select(*out)
 

@@ -42,18 +42,15 @@ def parse_label(line: Column) -> Column:
     class is looked at, so a bad number is an error even in a line of an unknown class.
     """
     tokens = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
-    numbers = F.transform(
-        F.slice(tokens, 1, 7),
-        lambda v: F.when(v.rlike(NUMBER), v.cast("double")).otherwise(
-            F.raise_error(F.concat(F.lit("bad number in label line: "), v)).cast("double")
-        ),
-    )
+    numbers = F.slice(tokens, 1, 7)
+    bad = F.filter(numbers, lambda v: ~v.rlike(NUMBER))
+    # The test sits in the class itself, which every reader filters on, so that unused
+    # numbers are tested too.
+    kind = F.when(
+        F.size(bad) > 0, F.raise_error(F.concat(F.lit("bad number in label line: "), line)).cast("int")
+    ).otherwise(class_id(F.element_at(tokens, 8)))
+    places = {"x": 0, "y": 1, "length": 3, "width": 4, "heading": 6}
     fields = F.struct(
-        F.when(F.size(numbers) == 7, class_id(F.element_at(tokens, 8))).alias("class_id"),
-        numbers[0].alias("x"),
-        numbers[1].alias("y"),
-        numbers[3].alias("length"),
-        numbers[4].alias("width"),
-        numbers[6].alias("heading"),
+        kind.alias("class_id"), *[numbers[i].try_cast("double").alias(name) for name, i in places.items()]
     )
     return F.when(F.size(tokens) == LABEL_TOKENS, fields)

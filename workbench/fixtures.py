@@ -19,7 +19,7 @@ def _segment(seq: Column) -> Column:
     return F.concat(F.lit("segment-"), F.lpad(seq.cast("string"), 4, "0"))
 
 
-def _keys() -> list[Column]:
+def frame_keys() -> list[Column]:
     """Sequence and frame index of a running frame number; ten frames make a sequence."""
     seq = F.floor(F.col("frame_no") / 10).cast("int")
     return [_segment(seq).alias("sequence"), (F.col("frame_no") - 10 * seq).alias("frame_index")]
@@ -69,7 +69,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_tax").alias("intensity"),
     )
     ordinal = F.row_number().over(Window.partitionBy("frame_no").orderBy(*order)).cast("long")
-    return placed.select(*_keys(), ordinal.alias("point_ord"), "x", "y", "z", "intensity", "frame_no")
+    return placed.select(*frame_keys(), ordinal.alias("point_ord"), "x", "y", "z", "intensity", "frame_no")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").withColumn("frame_no", _bin("p_partkey", 10.0))
     motion = [F.struct(*[(0.1 * (p % n)).alias(a) for a, n in zip("xyz", m)]) for m in ((7, 5, 3), (4, 6, 2))]
     return parts.select(
-        *_keys(), (p % 10).cast("int").alias("box_ord"),
+        *frame_keys(), (p % 10).cast("int").alias("box_ord"),
         F.round(3.61 + far * F.cos(bearing), 6).alias("cx"),
         F.round(-0.154 + far * F.sin(bearing), 6).alias("cy"),
         F.lit(0.8).alias("cz"),
@@ -140,7 +140,7 @@ def range_images(spark: SparkSession, sf_dir: str, with_pose: bool = False) -> D
     )).cast("array<float>")
     laser = (vec % 5 + 1).cast("int")
     return images.select(
-        *_keys(), laser.alias("laser"), (vec % 2).cast("int").alias("ret"),
+        *frame_keys(), laser.alias("laser"), (vec % 2).cast("int").alias("ret"),
         F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(4).alias("channels"), data.alias("data"),
         *([F.when(laser == 1, pose).alias("pixel_pose")] if with_pose else []),
     )

@@ -83,18 +83,20 @@ def frame_ordinals(spark, d):
 def ray_walk(spark, d):
     """Cells on the way from the centre mount to every point: how many, the last one, and index sums."""
     mount = SCALA.select(["front_center"]).mounts[0]
-    rays = fx.points(spark, d).select("sequence", "frame_index", "point_ord", "x", "y", "z")
+    rays = fx.points(spark, d).select("frame_no", "point_ord", "x", "y", "z")
     for a, start in zip("xyz", (mount.x, mount.y, mount.z)):
         rays = rays.withColumn(f"v0{a}", voxel_index(F.lit(start), BEV.voxel_size))
         rays = rays.withColumn(f"d{a}", voxel_index(F.col(a), BEV.voxel_size) - F.col(f"v0{a}"))
     rays = rays.withColumn("length", walk_length(F.col("dx"), F.col("dy"), F.col("dz")))
     cells = ray_cells(rays.drop("x", "y", "z"))
     last = F.col("step") == F.col("length")
-    return cells.groupBy("sequence", "frame_index", "point_ord").agg(
+    # Grouped on whole numbers, which keeps the per-cell hash cheap; names are put back after.
+    totals = cells.groupBy("frame_no", "point_ord").agg(
         F.count(F.lit(1)).alias("n_cells"),
         *[F.max(F.when(last, F.col(f"v{a}"))).alias(f"last_{a}") for a in "xyz"],
         *[F.sum(F.col(f"v{a}").cast("long") * F.col("step")).alias(f"sum_{a}") for a in "xyz"],
     )
+    return totals.select(*fx.frame_keys(), *totals.columns).drop("frame_no")
 
 
 @query

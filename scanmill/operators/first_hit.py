@@ -157,7 +157,8 @@ def first_hits(
     The top-one window is trimmed inside each map task before its shuffle, so a crowded
     ray costs one row per task.
     """
-    ray = Window.partitionBy(*SCAN_KEYS, "ray_id").orderBy("step", "offset", "t", "point_ord")
+    # Whole numbers first: the sort compares their prefix before it looks at a name.
+    ray = Window.partitionBy("ray_id", "frame_index", "sensor", "sequence").orderBy("step", "offset", "t", "point_ord")
     candidates = ray_candidates(points, model, voxel_size, precision)
     return candidates.withColumn("_rank", F.row_number().over(ray)).filter(F.col("_rank") == 1).drop("_rank")
 

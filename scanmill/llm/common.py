@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,15 @@ def drop_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, which need not have it installed; once for each application."""
+    if spark.conf.get("spark.scanmill.shipped", None) != spark.sparkContext.applicationId:
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/scanmill", "zip", root, "scanmill")
+        spark.sparkContext.addPyFile(archive)
+        spark.conf.set("spark.scanmill.shipped", spark.sparkContext.applicationId)
+
+
 def like(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns, so that others with clashing names never meet an operator's own."""
     return frame.select(*columns)

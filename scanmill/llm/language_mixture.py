@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanmill.llm.common import like
@@ -136,25 +136,33 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     return LanguageModel(tuple(r.lang for r in packed), (counts / counts.sum(axis=0)).astype(np.float64))
 
 
+def language_of(spark: SparkSession, model: LanguageModel) -> Callable[[Column], Column]:
+    """A column function: text to (lang_pred, score, languages, accepted). The model is broadcast; `train` bounds it."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double, languages array<struct<lang: string, share: double>>, accepted boolean")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        found = [shared.value.mixture(text) for text in texts]
+        return pd.DataFrame({
+            "lang_pred": [f[0] for f in found], "score": [f[1] for f in found],
+            "languages": [[{"lang": a, "share": b} for a, b in f[2]] for f in found], "accepted": [f[3] for f in found],
+        })
+
+    return predict
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, languages, accepted) of every row of `docs` (doc_id, text).
 
     lang_pred is the language with the largest proportion, score that proportion, languages all that were chosen.
     Null texts and texts without a letter give `und`, score 0 and no languages, as does every text if nothing was
-    learnt. Ties go to the language first by name. The model is broadcast; `train` bounds its size."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    learnt. Ties go to the language first by name. Repeated rows are judged alike."""
+    judged = F.col("judged")
+    return like(docs, ["doc_id", "text"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), language_of(docs.sparkSession, model)(F.col("text")).alias("judged")
+    ).select("doc_id", "held_out", judged["lang_pred"].alias("lang_pred"), judged["score"].alias("score"), judged["languages"].alias("languages"), judged["accepted"].alias("accepted"))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shared.value.mixture(text) for text in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "held_out": batch["held_out"],
-                "lang_pred": [f[0] for f in found], "score": [f[1] for f in found],
-                "languages": [[{"lang": a, "share": b} for a, b in f[2]] for f in found], "accepted": [f[3] for f in found],
-            })
-
-    return like(docs, ["doc_id", "text"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(
-        predict,
-        "doc_id long, held_out boolean, lang_pred string, score double, "
-        "languages array<struct<lang: string, share: double>>, accepted boolean",
-    )
+
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of `docs` whose text its languages explain; all columns stay."""
+    return docs.filter(language_of(docs.sparkSession, model)(F.col("text"))["accepted"])

@@ -8,15 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scanmill.llm.common import ship, table
+from scanmill.llm.decontamination import contaminated
 from scanmill.llm.language_mixture import identify, train
 from scanmill.llm.packing import best_fit_packing
+from scanmill.llm.pseudonyms import pseudonyms
 from scanmill.llm.simhash import near_duplicates
 
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: set spark.scanmill.pii.key; the default serves tests only."""
+    return spark.conf.get("spark.scanmill.pii.key", "scanmill-test-key-of-32-letters!").encode()
+
+
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -31,12 +37,22 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(table(spark, sf_dir, "documents"), pii_key(spark))
+
+
 @query
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
 
 
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

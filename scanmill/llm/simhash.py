@@ -89,3 +89,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks:
     return prints.join(named, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks: int = 6) -> DataFrame:
+    """`docs` with one row of each component: the one that names it. All columns stay; of rows that repeat a doc_id one
+    stays; rows without doc_id are never judged copies and stay."""
+    found = near_duplicates(docs, radius, shingle, blocks)
+    copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))

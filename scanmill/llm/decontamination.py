@@ -11,6 +11,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,19 +144,21 @@ class Index:
                         best[items[i][0]] = found
 
 
+def _search(index: Broadcast, threshold: float) -> Callable[[Column], Column]:
+    @F.pandas_udf("array<struct<item_id: long, similarity: double, first_word: long, n_words: long>>")
+    def search(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(_MATCH, m, strict=True)) for m in index.value.matches(t, threshold)] for t in texts])
+
+    return search
+
+
 def matches_of(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator[Callable[[Column], Column]]:
     """Column functions, one for each part of the benchmark: text to its matches. The parts are drawn by hash."""
     items = like(benchmark, ["item_id", "text"])
     parts = max(1, -(-items.count() // ITEMS_AT_ONCE))
     for part in range(parts):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in some.collect()]))
-
-        @F.pandas_udf("array<struct<item_id: long, similarity: double, first_word: long, n_words: long>>")
-        def search(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([[dict(zip(_MATCH, m, strict=True)) for m in index.value.matches(t, threshold)] for t in texts])
-
-        yield search
+        yield _search(docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in some.collect()])), threshold)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

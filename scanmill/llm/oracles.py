@@ -1,5 +1,53 @@
-"""DuckDB twins of the registered queries that SQL can express."""
+"""DuckDB twins of the registered queries that SQL can express, written from the definitions."""
 
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op4_adaptive_quality"] = r"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT doc_id, lang, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+), windows AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 2)) AS i FROM words)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id
+), counts AS (
+  SELECT w.doc_id, lang, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id
+), measures AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         CASE WHEN word_chars > 0 THEN least(1000 * n_symbols // word_chars, 1000) ELSE 0 END AS symbols,
+         CASE WHEN n_lines > 0 THEN least(1000 * n_dup_lines // n_lines, 1000) ELSE 0 END AS dup_lines,
+         CASE WHEN n_words > 0 THEN least(1000 * n_repeat_words // n_words, 1000) ELSE 0 END AS repeats,
+         CASE WHEN n_words > 0 THEN least(10 * word_chars // n_words, 1000) ELSE 0 END AS word_length
+  FROM counts
+), q AS (
+  SELECT lang, source, grouping(lang, source) AS g, count(*) AS rows,
+         quantile_disc(symbols, [0.1, 0.5, 0.9]) AS sy, quantile_disc(dup_lines, [0.1, 0.5, 0.9]) AS du,
+         quantile_disc(repeats, [0.1, 0.5, 0.9]) AS re, quantile_disc(word_length, [0.1, 0.5, 0.9]) AS wo
+  FROM measures WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())
+), bounds AS (
+  SELECT a.lang, a.source,
+         CASE WHEN a.rows >= 100 THEN a.sy WHEN b.rows >= 100 THEN b.sy ELSE c.sy END AS sy,
+         CASE WHEN a.rows >= 100 THEN a.du WHEN b.rows >= 100 THEN b.du ELSE c.du END AS du,
+         CASE WHEN a.rows >= 100 THEN a.re WHEN b.rows >= 100 THEN b.re ELSE c.re END AS re,
+         CASE WHEN a.rows >= 100 THEN a.wo WHEN b.rows >= 100 THEN b.wo ELSE c.wo END AS wo
+  FROM q a JOIN q b ON a.lang IS NOT DISTINCT FROM b.lang JOIN q c ON true WHERE a.g = 0 AND b.g = 1 AND c.g = 3
+)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed
+       AND symbols <= sy[2] + greatest(5 * (sy[2] - sy[1]), 60)
+       AND dup_lines <= du[2] + greatest(5 * (du[2] - du[1]), 400)
+       AND repeats <= re[2] + greatest(5 * (re[2] - re[1]), 400)
+       AND word_length BETWEEN wo[2] - greatest(5 * (wo[3] - wo[2]), 25) AND wo[2] + greatest(5 * (wo[2] - wo[1]), 25) AS kept
+FROM measures m LEFT JOIN bounds b ON m.lang IS NOT DISTINCT FROM b.lang AND m.source IS NOT DISTINCT FROM b.source
+"""

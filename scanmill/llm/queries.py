@@ -12,6 +12,7 @@ from scanmill.llm.decontamination import contaminated
 from scanmill.llm.language_mixture import identify, train
 from scanmill.llm.packing import best_fit_packing
 from scanmill.llm.pseudonyms import pseudonyms
+from scanmill.llm.quality import MEASURES, judged
 from scanmill.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents")).drop(*MEASURES)
+
+
 @query
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(table(spark, sf_dir, "documents"), pii_key(spark))

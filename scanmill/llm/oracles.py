@@ -51,3 +51,21 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        AND word_length BETWEEN wo[2] - greatest(5 * (wo[3] - wo[2]), 25) AND wo[2] + greatest(5 * (wo[2] - wo[1]), 25) AS kept
 FROM measures m LEFT JOIN bounds b ON m.lang IS NOT DISTINCT FROM b.lang AND m.source IS NOT DISTINCT FROM b.source
 """
+
+ORACLES["op8_chat_formatting"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+), sized AS (
+  SELECT *, length(role) + length(text) + list_sum(list_transform(
+           [chr(9243), '<|', '<s>', '</s>', '[INST]', '[/INST]'],
+           lambda c: (length(role || chr(0) || text) - length(replace(role || chr(0) || text, c, ''))) // length(c))) AS escaped
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(escaped + length('<|im_start|>') + 1 + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scanmill.llm import chat
 from scanmill.llm.common import ship, table
 from scanmill.llm.decontamination import contaminated
+from scanmill.llm.html_templates import main_texts
 from scanmill.llm.language_mixture import identify, train
 from scanmill.llm.packing import best_fit_packing
 from scanmill.llm.pseudonyms import pseudonyms
@@ -34,6 +35,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

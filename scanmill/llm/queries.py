@@ -16,6 +16,7 @@ from scanmill.llm.packing import best_fit_packing
 from scanmill.llm.pseudonyms import pseudonyms
 from scanmill.llm.quality import MEASURES, judged
 from scanmill.llm.simhash import near_duplicates
+from scanmill.llm.suffix_dedup import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))

@@ -22,9 +22,10 @@ CHUNK = 200_000
 FULL = 0.995
 """Bins filled to this part of the capacity leave the tree."""
 FAN_IN = 8
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 400_000
+_TEXTS = 500
 _BIN = "fill long, pieces array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long, offset: long>>"
-_ODD = re.compile("<\\||[Σͅ\x1c-\x1f\x85᠎]")
+_ODD = re.compile("[Σͅ\x1c-\x1f\x85᠎]")
 
 
 class WordTokenizer:
@@ -53,40 +54,46 @@ class WordTokenizer:
             if not token.startswith("<|") or not token.endswith("|>"):
                 end = token.endswith("</w>") and len(token) > 4
                 ranks[bytes(byte_of[c] for c in (token[:-4] if end else token)) + b"\xff" * end] = rank
-        self.of_piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.of_piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.start = np.zeros(_KEPT_WORDS + 1, np.int64)
+        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: set[str]) -> None:
+        encode, flat, sizes = self.of_piece, [], []
         for word in words:
-            ids = list(chain.from_iterable(self.of_piece(p.encode() + b"\xff") for p in self.pieces(word)))
-            n = len(self.known)
-            begin = self.start[n]
-            while begin + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if n + 2 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.flat[begin : begin + len(ids)] = ids
-            self.start[n + 1] = begin + len(ids)
-            self.known[word] = n
-
-    def ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.known) > _KEPT_WORDS:
-            self.known.clear()
-        at = list(map(self.known.get, words))
-        if None in at:
-            self._learn({w for w, i in zip(words, at, strict=True) if i is None})
-            at = list(map(self.known.__getitem__, words))
-        at = np.array(at)
-        begin, sizes = self.start[at], self.start[at + 1] - self.start[at]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])]
+            before = len(flat)
+            if word.isalpha():
+                flat += encode(word.encode() + b"\xff")
+            else:
+                for piece in self.pieces(word):
+                    flat += encode(piece.encode() + b"\xff")
+            sizes.append(len(flat) - before)
+        n = len(self.known)
+        self.flat = np.concatenate([self.flat[: self.start[n]], np.array(flat, np.uint32)]) if n else np.array(flat, np.uint32)
+        self.start = np.concatenate([self.start[: n + 1], self.start[n] + np.cumsum(sizes)]) if n else np.cumsum([0, *sizes])
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. New words of a part of the texts are learnt together."""
+        for at in range(0, len(texts), _TEXTS):
+            part = texts[at : at + _TEXTS]
+            runs = [None if "<|" in t or _ODD.search(t) or not unicodedata.is_normalized("NFC", t) else t.lower().split() for t in part]
+            new = set().union(*(r for r in runs if r)).difference(self.known)
+            if len(self.known) + len(new) > _KEPT_WORDS:
+                self.known.clear()
+                new = set().union(*(r for r in runs if r))
+            if new:
+                self._learn(new)
+            for text, words in zip(part, runs, strict=True):
+                if words is None:
+                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+                elif not words:
+                    yield np.zeros(0, np.uint32)
+                else:
+                    where = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                    begin, sizes = self.start[where], self.start[where + 1] - self.start[where]
+                    ends = np.cumsum(sizes)
+                    yield self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -152,8 +159,8 @@ def local_bins(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, items = tokenizer(tokenizer_path).ids, []
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encode(text or ""), np.uint32(0))
+            for doc_id, ids in zip(batch["doc_id"], encode([t or "" for t in batch["text"]]), strict=True):
+                ids = np.append(ids, np.uint32(0))
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 items += [(p[2], [dict(zip(_FIELDS, (doc_id, *p), strict=True))]) for p in cut(ids, capacity)]
             if len(items) >= CHUNK:

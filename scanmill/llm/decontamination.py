@@ -51,12 +51,17 @@ def _weights(words: list[str]) -> np.ndarray:
     return ends[SHINGLE:] - ends[:-SHINGLE]
 
 
-def _window_prints(shingles: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each `size` shingles in a row: the sign of the weighted sum of their bits."""
+def _bit_sums(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Running sums of the shingles' bits, each plus or minus its weight; the first row is zero."""
     bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64) * 2 - 1
     sums = np.zeros((len(shingles) + 1, 64), np.int64)
     np.cumsum(bits * weights[:, None], axis=0, out=sums[1:])
-    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1)
+    return sums
+
+
+def _window_prints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the `size` shingles from each place of `at`: the sign of the weighted sum of their bits."""
+    return np.packbits(sums[at + size] > sums[at], axis=1)
 
 
 def _bag(shingles: np.ndarray, weights: np.ndarray) -> dict[int, int]:
@@ -89,7 +94,7 @@ class Index:
             self.codes |= {w: _code(w) for w in words}
             shingles, weights = _shingles(np.array([self.codes[w] for w in words], np.uint64)), _weights(words)
             hashes.append(shingles)
-            by_length[len(words)].append((item_id, _bag(shingles, weights), _window_prints(shingles, weights, len(shingles))[0]))
+            by_length[len(words)].append((item_id, _bag(shingles, weights), _window_prints(_bit_sums(shingles, weights), np.zeros(1, int), len(shingles))[0]))
         self.known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.lengths = {}
         spread = np.arange(256)
@@ -108,7 +113,8 @@ class Index:
             runs = np.convolve(known != 0, np.ones(SHINGLE, int), "valid") == SHINGLE
             starts = np.flatnonzero(runs)
             if len(starts):
-                hits = starts[np.isin(_shingles(known)[starts], self.known)]
+                found = _shingles(known)[starts]
+                hits = starts[self.known[np.searchsorted(self.known, found) % len(self.known)] == found]
                 if len(hits):
                     self._windows(words, hits, threshold, best)
         return [(item, *found) for item, found in sorted(best.items())]
@@ -125,6 +131,7 @@ class Index:
             seen = np.zeros(len(shingles) + 1, np.int64)
             np.add.at(seen, group - begin + 1, 1)
             seen = np.cumsum(seen)
+            sums = _bit_sums(shingles, weights)
             for length, (items, prints, near) in self.lengths.items():
                 size = length - SHINGLE + 1
                 if size > len(shingles):
@@ -132,11 +139,11 @@ class Index:
                 at = np.flatnonzero(seen[size:] - seen[:-size])
                 if not len(at):
                     continue
-                windows = _window_prints(shingles, weights, size)[at]
+                windows = _window_prints(sums, at, size)
                 close = reduce(np.logical_or, (near[b][windows[:, b]] for b in range(_BLOCKS)))
-                for w, i in zip(*np.nonzero(close), strict=True):
-                    if np.bitwise_count(windows[w] ^ prints[i]).sum() > RADIUS:
-                        continue
+                at_window, at_item = np.nonzero(close)
+                within = np.bitwise_count(windows[at_window] ^ prints[at_item]).sum(axis=1) <= RADIUS
+                for w, i in zip(at_window[within], at_item[within], strict=True):
                     a = int(at[w])
                     value = similarity(items[i][1], _bag(shingles[a : a + size], weights[a : a + size]))
                     found = (value, int(begin) + a, length)

@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  input folder (default /root/testdata/sf0.1)
 BENCH_CPUS    local threads (default 8)
-BENCH_RUNS    timed runs per query after one warm-up, the median counts (default 1)
+BENCH_RUNS    timed runs per query after one warm-up, the median counts (default 3)
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from pyspark.sql import SparkSession
 from workbench.queries import QUERIES
 
 HEADLINE = (
-    "range_to_points", "voxel_nearest", "ray_walk", "first_hits", "first_hits_banded", "sparse_scan", "points_1f",
-    "box_counts_inverse", "label_lines", "history_pairs", "points_2f", "points_4f", "tracks_4f",
-    "raster_height", "raster_overlap", "raster_overlap_height", "obb_training_lines", "plane_to_sensor",
+    "range_to_points", "range_to_points_top", "dense_cloud", "voxel_nearest", "first_hits", "first_hits_banded", "sparse_scan",
+    "points_1f", "box_counts_inverse", "box_counts_far", "split_points", "label_lines", "history_pairs", "points_2f", "points_4f",
+    "tracks_4f", "raster_height", "raster_overlap", "raster_overlap_height", "obb_training_lines", "plane_to_sensor",
 )
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("scanmill-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")

@@ -122,14 +122,6 @@ def into_sensor(m: Motion, tx: Column, ty: Column, tz: Column, yaw: Column) -> M
     return out
 
 
-def to_vehicle_xyz(
-    x: Column, y: Column, z: Column, tx: Column, ty: Column, tz: Column, yaw: Column
-) -> tuple[Column, Column, Column]:
-    """Inverse of :func:`to_sensor_xyz`."""
-    xv, yv = rotate_xy(yaw, x, y)
-    return xv + tx, yv + ty, z + tz
-
-
 def sensor_planar_motion(vehicle: PlanarPose, tx: Column, ty: Column, yaw: Column) -> PlanarPose:
     """A planar vehicle motion re-expressed for points in the frame of a mounted sensor.
 

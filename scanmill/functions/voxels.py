@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GRID_PRECISIONS = ("double", "float")
-_HALF = 1 << 20
 
 
 def voxel_index(value: Column, size: float, precision: str = "double") -> Column:
@@ -23,12 +22,6 @@ def voxel_index(value: Column, size: float, precision: str = "double") -> Column
     raise ValueError(f"unknown grid precision {precision!r}; expected one of {GRID_PRECISIONS}")
 
 
-def voxel_key(vx: Column, vy: Column, vz: Column) -> Column:
-    """Three indices in one long (21 bits each), so that hash joins and groupings use a long key."""
-    parts = [(v.cast("long") + _HALF) for v in (vx, vy, vz)]
-    return F.shiftleft(parts[0], 42) + F.shiftleft(parts[1], 21) + parts[2]
-
-
 def minor_offset(minor: Column, major: Column, step: Column) -> Column:
     """Unsigned offset on a minor axis after ``step`` cells along the driving axis.
 

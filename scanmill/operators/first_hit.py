@@ -30,9 +30,9 @@ SCAN_KEYS = (*FRAME, "sensor")
 BUCKETS = 64
 _SPAN = 2 * BUCKETS + 1
 
-# A broadcast ray table is refused above this many rows (about 150 bytes each); the join
-# then shuffles. The count follows from the sensor model alone, never from the data.
-BROADCAST_RAY_LIMIT = 1_000_000
+# Most rays of one rig: its table (about 150 bytes a row) goes to every executor. The count follows from the
+# sensor model alone, never from the data; a larger rig is split by mounts.
+RAY_LIMIT = 1_000_000
 
 
 def _direction_key(mount: Column, axis: Column, positive: Column, bu: Column, bw: Column) -> Column:
@@ -75,13 +75,17 @@ def _may_be_seen(model: SensorModel, voxel_size: float) -> Column:
     if model.half_fov < 180:
         along = ox * F.cos(F.col("yaw")) + oy * F.sin(F.col("yaw"))
         ok = ok & (along >= cos(radians(model.half_fov)) * F.sqrt(ox * ox + oy * oy) - 8.0)
+    # A slope over the ground distance lies between its value and root two times it over the larger offset. Walks and
+    # ray ends are rounded to cells on every axis: one cell aside moves a ray up by its slope, and an end moved by
+    # cells changes the slope the more, the steeper the ray and the shorter its ground track.
     slopes = [tan(radians(e)) for e in model.elevations_deg]
-    if max(abs(e) for e in model.elevations_deg) < 40:
-        slack = 4.0 * voxel_size * sqrt(2.0) / (model.distance * cos(pi / 4))
-        low = min(s * (sqrt(2.0) if s < 0 else 1.0) for s in slopes) - slack
-        high = max(s * (sqrt(2.0) if s > 0 else 1.0) for s in slopes) + slack
-        ok = ok & (oz + 1.0 >= low * flat) & (oz - 1.0 <= high * flat)
-    return ok
+    steepest = max(1.0, *(abs(s) for s in slopes))
+    track = model.distance * cos(max(pi / 4, *(abs(radians(e)) for e in model.elevations_deg)))
+    slack = 4.0 * voxel_size * sqrt(2.0) * steepest / max(track, 1e-9)
+    low = min(s * (sqrt(2.0) if s < 0 else 1.0) for s in slopes) - slack
+    high = max(s * (sqrt(2.0) if s > 0 else 1.0) for s in slopes) + slack
+    cells = 2.0 * steepest
+    return ok & (oz + cells >= low * flat) & (oz - cells <= high * flat)
 
 
 def _bucket_range(offset: str) -> Column:
@@ -102,9 +106,9 @@ def ray_candidates(
     (zero when absent). Adds ``sensor, ray_id, step, t, offset`` and the ray's start and direction; points behind
     the sensor are dropped.
     """
-    rays = _hashed_rays(ray_table(points.sparkSession, model, voxel_size, precision))
-    if model.ray_count <= BROADCAST_RAY_LIMIT:
-        rays = F.broadcast(rays)
+    if model.ray_count > RAY_LIMIT:
+        raise ValueError(f"{model.ray_count} rays; scan the mounts of a rig beyond {RAY_LIMIT} in several calls")
+    rays = F.broadcast(_hashed_rays(ray_table(points.sparkSession, model, voxel_size, precision)))
 
     intensity = F.col("intensity") if "intensity" in points.columns else F.lit(0.0)
     seen = points.select(

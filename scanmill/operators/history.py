@@ -17,16 +17,20 @@ MAX_FRAMES = 4
 CHUNK = 1024
 
 
-def rank_in_group(rows: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -> DataFrame:
-    """Add ``rank`` (from one) of each row in its group by an integer column.
+def rank_in_group(rows: DataFrame, keys: list[str], order: str, chunk: int = CHUNK, ties: list[str] | None = None) -> DataFrame:
+    """Add ``rank`` (from one) of each row in its group by an integer column, equal values by the columns of ``ties``.
 
     Ranks are counted inside chunks of the order column and shifted by the counts of the
-    chunks before, so a group of any size is spread over many tasks.
+    chunks before, so a group of any size is spread over many tasks. Rows that are equal in all of these columns have no
+    order: they are an error.
     """
+    total = [order, *(ties or [])]
     chunked = rows.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    inside = chunked.withColumn(
-        "_inside", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))
-    )
+    window = Window.partitionBy(*keys, "_chunk").orderBy(*total)
+    same = F.lag(F.struct(*total)).over(window) == F.struct(*total)
+    place = F.row_number().over(window)
+    message = F.concat(F.lit(f"rows without an order by {total}: "), F.to_json(F.struct(*keys, *total)))
+    inside = chunked.withColumn("_inside", F.when(same, F.raise_error(message).cast("int")).otherwise(place))
     counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -34,9 +38,12 @@ def rank_in_group(rows: DataFrame, keys: list[str], order: str, chunk: int = CHU
     return ranked.select(*rows.columns, (F.col("_inside") + F.col("_before")).cast("long").alias("rank"))
 
 
-def frame_ordinals(frames: DataFrame, chunk_micros: int = 600_000_000) -> DataFrame:
-    """Add ``frame_index`` (from zero, by time) to frames that come without one."""
-    ranked = rank_in_group(frames, ["sequence"], "timestamp_micros", chunk_micros)
+def frame_ordinals(frames: DataFrame, chunk_micros: int = 600_000_000, ties: list[str] | None = None) -> DataFrame:
+    """Add ``frame_index`` (from zero, by time) to frames that come without one.
+
+    Frames of a sequence with equal time stamps are numbered by the columns of ``ties``, such as the record's position;
+    without them, or where those are equal too, they are an error."""
+    ranked = rank_in_group(frames, ["sequence"], "timestamp_micros", chunk_micros, ties)
     return ranked.select(*frames.columns, (F.col("rank") - 1).cast("int").alias("frame_index"))
 
 

@@ -31,36 +31,33 @@ def column_azimuth(extrinsic: Column, width: Column, column: Column) -> Column:
 
 def range_image_points(
     range_images: DataFrame, calibrations: DataFrame, frames: DataFrame | None = None,
-    lasers: tuple[int, ...] = LASERS, drop_no_label_zone: bool = True, calibration_limit: int = 100_000,
+    lasers: tuple[int, ...] = LASERS, drop_no_label_zone: bool = True,
 ) -> DataFrame:
     """One row per valid pixel: ``sequence, frame_index, laser, ret, idx, x, y, z, intensity``.
 
     Images are arrays ``data[height x width x channels]``. A row of the top laser may carry
     ``pixel_pose[height x width x 6]`` (roll, pitch, yaw, x, y, z in the world); given ``frames``, its
-    pixels are placed by their own pose and brought back by the frame's.
+    pixels are placed by their own pose and brought back by the frame's. Pixels whose frame is not in ``frames`` drop out.
 
-    Image rows are wide. Only the top laser's meet the frame table; all others are unpacked
-    where they are read. Calibrations grow with sequences: they are broadcast while their
-    count stays under ``calibration_limit`` and left to the optimizer above it.
+    Image rows are wide, so they are read once and unpacked where they are read; calibrations and frame poses
+    meet narrow pixels, and Spark chooses each join by the tables' sizes.
     """
     keys = [k for k in ("sequence", "laser") if k in calibrations.columns]
-    # Counted only up to the limit.
-    if calibrations.limit(calibration_limit + 1).count() <= calibration_limit:
-        calibrations = F.broadcast(calibrations)
-    images = range_images.filter(F.col("laser").isin(*lasers))
-    if frames is None or "pixel_pose" not in images.columns:
-        return _unpacked(images.join(calibrations, keys), drop_no_label_zone, posed=False)
-
-    own_pose = (F.col("laser") == TOP_LASER) & F.col("pixel_pose").isNotNull()
-    poses = frames.select("sequence", "frame_index", "pose")
-    top = images.filter(own_pose).join(poses, ["sequence", "frame_index"]).join(calibrations, keys)
-    rest = images.filter(~own_pose).drop("pixel_pose").join(calibrations, keys)
-    return _unpacked(rest, drop_no_label_zone, posed=False).unionByName(
-        _unpacked(top, drop_no_label_zone, posed=True)
-    )
+    posed = frames is not None and "pixel_pose" in range_images.columns
+    pixels = _pixels(range_images.filter(F.col("laser").isin(*lasers)), drop_no_label_zone, posed)
+    placed = _placed(pixels.join(calibrations, keys), posed)
+    out = ("sequence", "frame_index", "laser", "ret", "idx")
+    xyz = [F.col(a) for a in "xyz"]
+    if posed:
+        poses = frames.select("sequence", "frame_index", "pose")
+        placed = placed.join(poses, ["sequence", "frame_index"], "left").filter(~F.col("in_world") | F.col("pose").isNotNull())
+        back = apply_motion(inverse(motion_of(F.col("pose"))), *xyz)
+        xyz = [F.when(F.col("in_world"), b).otherwise(v) for b, v in zip(back, xyz)]
+    return placed.select(*out, *[v.cast("float").alias(a) for a, v in zip("xyz", xyz)], "intensity")
 
 
-def _unpacked(images: DataFrame, drop_no_label_zone: bool, posed: bool) -> DataFrame:
+def _pixels(images: DataFrame, drop_no_label_zone: bool, posed: bool) -> DataFrame:
+    """Valid pixels with their range, place in the image and, where they have one, their own pose."""
     pixels = images.select(
         "*", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("idx")
     )
@@ -71,18 +68,24 @@ def _unpacked(images: DataFrame, drop_no_label_zone: bool, posed: bool) -> DataF
     valid = value(RANGE) > 0
     if drop_no_label_zone:
         valid = valid & (value(NO_LABEL_ZONE) != IN_ZONE)
-    pixels = pixels.filter(valid)
+    in_world = F.lit(False)
+    own = []
+    if posed:
+        in_world = (F.col("laser") == TOP_LASER) & F.col("pixel_pose").isNotNull()
+        own = [F.when(in_world, F.col("pixel_pose")[F.col("idx") * 6 + i].cast("double")).alias(f"_p{i}") for i in range(6)]
+    return pixels.filter(valid).select(
+        "sequence", "frame_index", "laser", "ret", "idx", "height", "width", value(RANGE).alias("_range"),
+        value(INTENSITY).cast("float").alias("intensity"), in_world.alias("in_world"), *own,
+    )
 
-    keys = ("sequence", "frame_index", "laser", "ret", "idx")
+
+def _placed(pixels: DataFrame, posed: bool) -> DataFrame:
+    """Pixels as points: of the vehicle frame, or of the world where they have a pose."""
     row = F.floor(F.col("idx") / F.col("width"))
-    inc = beam_inclination(F.col("inclinations"), F.col("incl_min"), F.col("incl_max"), F.col("height"), row)
-    az = column_azimuth(F.col("extrinsic"), F.col("width"), F.col("idx") % F.col("width"))
-    own = [F.col("pixel_pose")[F.col("idx") * 6 + i].cast("double").alias(f"_p{i}") for i in range(6)]
-    extra = [*own, F.col("pose")] if posed else []
-    polar = pixels.select(
-        *keys, "extrinsic", value(RANGE).alias("_range"), value(INTENSITY).cast("float").alias("intensity"),
-        inc.alias("_inc"), az.alias("_az"), *extra,
-    )
+    polar = pixels.withColumns({
+        "_inc": beam_inclination(F.col("inclinations"), F.col("incl_min"), F.col("incl_max"), F.col("height"), row),
+        "_az": column_azimuth(F.col("extrinsic"), F.col("width"), F.col("idx") % F.col("width")),
+    })
     flat = F.col("_range") * F.cos("_inc")
     xyz = apply_motion(
         motion_of(F.col("extrinsic")), flat * F.cos("_az"), flat * F.sin("_az"), F.col("_range") * F.sin("_inc")
@@ -90,8 +93,10 @@ def _unpacked(images: DataFrame, drop_no_label_zone: bool, posed: bool) -> DataF
     if posed:
         turn = rotation_from_rpy(F.col("_p0"), F.col("_p1"), F.col("_p2"))
         world = apply_motion({**turn, **{f"t{i}": F.col(f"_p{3 + i}") for i in range(3)}}, *xyz)
-        xyz = apply_motion(inverse(motion_of(F.col("pose"))), *world)
-    return polar.select(*keys, *[v.cast("float").alias(a) for a, v in zip("xyz", xyz)], "intensity")
+        xyz = [F.when(F.col("in_world"), w).otherwise(v) for w, v in zip(world, xyz)]
+    return polar.select(
+        "sequence", "frame_index", "laser", "ret", "idx", *[v.alias(a) for a, v in zip("xyz", xyz)], "intensity", "in_world",
+    )
 
 
 def dense_points(pixels: DataFrame) -> DataFrame:

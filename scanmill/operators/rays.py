@@ -90,8 +90,9 @@ def ray_table(
     rays = rays.withColumns(deltas)
     triple = [F.col(d) for d in deltas]
     rays = rays.withColumns({"axis": driving_axis(*triple), "length": walk_length(*triple)})
-    # A ray without extent has no direction; all rays of a model are equally long.
-    return rays if model.distance >= 1e-6 else rays.limit(0)
+    # A ray without extent has no direction.
+    extent = F.sqrt(sum((F.col(f"e{a}") - F.col(f"s{a}")) * (F.col(f"e{a}") - F.col(f"s{a}")) for a in "xyz"))
+    return rays.filter(extent >= 1e-6)
 
 
 def ray_cells(rays: DataFrame) -> DataFrame:

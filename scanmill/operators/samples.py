@@ -11,7 +11,7 @@ from scanmill.functions.bev import normalised_pixel
 from scanmill.functions.boxes import box_corners
 from scanmill.functions.text import obb_line, parse_label, sample_stem
 from scanmill.operators.splits import requested_sensors
-from scanmill.sources.checkpoints import cut_lineage
+from scanmill.sources.checkpoints import cut_lineage, written
 
 CORNERS = ("x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4")
 
@@ -82,9 +82,21 @@ def sample_numbers(boxes: DataFrame, rasters: DataFrame, sensors: list[str] | No
     return numbered(samples, "split", ["_position", "stem"], "sample_index").drop("_position")
 
 
+def samples_per_split(numbers: DataFrame) -> DataFrame:
+    """``split, n_samples, n_boxes``: totals of the numbered samples."""
+    return numbers.groupBy("split").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n_boxes").alias("n_boxes"))
+
+
+def sample_mapping(numbers: DataFrame) -> DataFrame:
+    """Numbered samples with the ``sequence`` and ``frame_index`` that their stems name."""
+    tail = F.regexp_extract("stem", r"_(\d+)$", 1)
+    head = F.length("stem") - F.length("sensor") - F.length(tail) - 2
+    return numbers.select("*", F.substr("stem", F.lit(1), head).alias("sequence"), tail.try_cast("int").alias("frame_index"))
+
+
 def obb_samples(lines: DataFrame, rasters: DataFrame, bev: Bev = BEV, sensors: list[str] | None = None) -> DataFrame:
     """Label lines (``split, sensor, stem, line_no, line``) to numbered oriented boxes."""
-    boxes = parsed_labels(lines)
+    boxes = written(parsed_labels(lines))
     numbers = sample_numbers(boxes, rasters, sensors).drop("n_boxes")
     return obb_normalised(boxes.join(numbers, ["split", "sensor", "stem"]), bev)
 

@@ -15,6 +15,11 @@ def check_split(split: str) -> str:
     return split
 
 
+def trimmed(name: Column) -> Column:
+    """A name without white space of any kind at its ends."""
+    return F.regexp_replace(name, r"^\s+|\s+$", "")
+
+
 def sampled_split(
     split_list: DataFrame, available: DataFrame, data_percent: float = 100.0, seed: str = "0"
 ) -> DataFrame:
@@ -24,7 +29,7 @@ def sampled_split(
     order of a seeded digest: the same seed gives the same sample on any cluster. Names
     are ranked inside slices of the digest and shifted by the counts of the slices before.
     """
-    listed = split_list.select("split", F.trim("sequence").alias("sequence"))
+    listed = split_list.select("split", trimmed(F.col("sequence")).alias("sequence"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("sequence")))
     keyed = listed.withColumn("_digest", digest).withColumn("_slice", F.substring("_digest", 1, 2))
     inside = F.row_number().over(Window.partitionBy("split", "_slice").orderBy("_digest", "sequence"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.config import BEV, Bev, SensorModel
+from scanmill.config import BEV, SPLIT_FOLDERS, Bev, SensorModel
 from scanmill.operators.box_filter import MIN_POINTS, kept_boxes
 from scanmill.operators.first_hit import sparse_scan
 from scanmill.operators.fusion import fuse_frames
@@ -18,8 +18,8 @@ from scanmill.operators.samples import obb_samples
 from scanmill.operators.sensor_frame import points_single
 from scanmill.operators.tracks import track_boxes, track_records
 from scanmill.sources import writers
-from scanmill.sources.checkpoints import written
-from scanmill.sources.readers import split_folder
+from scanmill.sources.checkpoints import Scratch, written
+from scanmill.sources.readers import read_label_lines, read_raster_stems, split_folder
 
 # Output names; the two repeated label outputs are made on request only.
 OUTPUTS = (
@@ -33,29 +33,33 @@ def build_dataset(
     frames: DataFrame, points: DataFrame, boxes: DataFrame, model: SensorModel,
     outputs: Iterable[str] = DEFAULT_OUTPUTS, selected_sensors: Iterable[str] | None = None, bev: Bev = BEV, *,
     rotation: str = "inverse_yaw", threshold: int = MIN_POINTS, precision: str = "double",
-    scan: DataFrame | None = None, labels: DataFrame | None = None,
+    scan: DataFrame | None = None, labels: DataFrame | None = None, scratch: Scratch | None = None,
 ) -> dict[str, DataFrame]:
-    """Lazy tables, one per requested output.
+    """Tables, one per requested output. Runs jobs: what several outputs read is made first.
 
-    Every output starts from the scan, and most read it more than once, so it is written to the
-    shared folder first. Pass a ``scan`` (and ``labels``) that is a table already to skip that.
+    Every output starts from the scan, and most read it more than once, so the scan, the label rows and the history are
+    written first, by ``scratch`` if one is given, else to the shared folder, where they stay. Pass a ``scan`` and
+    ``labels`` that are tables already to skip theirs.
     """
     outputs = list(outputs)
     unknown = sorted(set(outputs) - set(OUTPUTS))
     if unknown:
         raise ValueError(f"unknown outputs {unknown}; known outputs: {list(OUTPUTS)}")
     model = model.select(selected_sensors)
+    keep = scratch.written if scratch else written
     if scan is None:
         scan = sparse_scan(points, model, bev.voxel_size, precision)
         if outputs not in (["points_1f"], ["images_height"]):
-            scan = written(scan)
+            scan = keep(scan)
     scans = non_empty_scans(scan)
     if labels is None:
         labels = label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev)
+        if sum(o.startswith(("labels", "gt_")) for o in outputs) > 1:
+            labels = keep(labels)
 
     # One row per scan and slot, used by every output that looks back.
     looks_back = [o for o in outputs if o not in ("points_1f", "images_height") and not o.startswith("labels")]
-    pairs = written(history_pairs(scans)) if looks_back else None
+    pairs = keep(history_pairs(scans)) if looks_back else None
 
     tables: dict[str, DataFrame] = {}
     for name in outputs:
@@ -74,14 +78,13 @@ def build_dataset(
     return tables
 
 
-def with_split(df: DataFrame, sequences: DataFrame, key: str = "sequence") -> DataFrame:
-    """Add the split folder of each row's sequence; rows of other sequences drop out."""
-    folder = None
-    for split in ("train", "val", "test"):
-        hit = F.col("split") == split
-        folder = F.when(hit, split_folder(split)) if folder is None else folder.when(hit, split_folder(split))
-    names = sequences.select(F.col("sequence").alias(key), folder.alias("split")).distinct()
-    return df.join(names, key)
+def split_keys(frames: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``sequence, frame_index, split``: every frame of the listed sequences with its split's folder.
+
+    A join on frames has many small keys where one on sequences has few large ones."""
+    folder = F.create_map(*[F.lit(x) for split in SPLIT_FOLDERS for x in (split, split_folder(split))])[F.col("split")]
+    names = sequences.select("sequence", folder.alias("split")).distinct()
+    return frames.select("sequence", "frame_index").join(names, "sequence")
 
 
 def write_dataset(
@@ -90,34 +93,48 @@ def write_dataset(
 ) -> dict[str, str]:
     """Write every requested output under ``path``, all splits of ``sequences`` in one go.
 
-    The scan and the label rows are written first and read back, so they are computed once
-    and a lost executor costs a re-read. Returns output name -> folder.
+    The frames of the listed sequences are written first and read back, so that Spark knows their true size: points
+    meet them broadcast while they are small, and by frame, never by sequence, beyond that. The scan and the
+    label rows are written next; later outputs read them. Intermediate tables are removed at the end. Returns output
+    name -> folder.
     """
     root = path.rstrip("/")
     model = model.select(selected_sensors)
-    wanted = sequences.select("sequence").distinct()
-    frames, points, boxes = (df.join(wanted, "sequence", "left_semi") for df in (frames, points, boxes))
-
     precision = options.pop("precision", "double")
     rotation = options.pop("rotation", "inverse_yaw")
     threshold = options.pop("threshold", MIN_POINTS)
     if options:
         raise TypeError(f"unknown options {sorted(options)}")
-    scan = written(sparse_scan(points, model, bev.voxel_size, precision), f"{root}/scan")
-    labels = written(label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev), f"{root}/label_rows")
-
-    tables = build_dataset(frames, points, boxes, model, outputs, None, bev, scan=scan, labels=labels)
-    folders = {}
-    for name, table in tables.items():
-        folders[name] = f"{root}/{name}"
-        if name.startswith("gt_"):
-            records = with_split(table, sequences, "sequence_name").withColumn("horizon", F.lit(name[3:]))
-            writers.write_track_json(records, folders[name])
-        else:
-            writers.write_table(with_split(table, sequences), folders[name])
+    with Scratch(points.sparkSession) as scratch:
+        keys = scratch.written(split_keys(frames, sequences))
+        by_frame = ["sequence", "frame_index"]
+        wanted = keys.select(*by_frame).distinct()
+        frames, points, boxes = (df.join(wanted, by_frame, "left_semi") for df in (frames, points, boxes))
+        scan = written(sparse_scan(points, model, bev.voxel_size, precision), f"{root}/scan")
+        labels = written(label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev), f"{root}/label_rows")
+
+        tables = build_dataset(frames, points, boxes, model, outputs, None, bev, scan=scan, labels=labels, scratch=scratch)
+        folders = {}
+        for name, table in tables.items():
+            folders[name] = f"{root}/{name}"
+            if name.startswith("gt_"):
+                named = keys.withColumnRenamed("sequence", "sequence_name")
+                records = table.join(named, ["sequence_name", "frame_index"]).withColumn("horizon", F.lit(name[3:]))
+                writers.write_track_json(records, folders[name])
+            else:
+                writers.write_table(table.join(keys, by_frame), folders[name])
     return folders
 
 
+def generated_labels(
+    spark: SparkSession, root: str, method: str = "height", splits: Iterable[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Label lines and raster stems that ``write_dataset`` stored under ``root``: the input of ``to_obb_samples``."""
+    splits = None if splits is None else list(splits)
+    lines = read_label_lines(spark, f"{root.rstrip('/')}/labels", splits)
+    return lines, read_raster_stems(spark, f"{root.rstrip('/')}/images_{method}", splits)
+
+
 def to_obb_samples(
     lines: DataFrame, rasters: DataFrame, bev: Bev = BEV, sensors: list[str] | None = None,
     splits: Iterable[str] | None = None,

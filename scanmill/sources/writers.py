@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanmill.functions.text import sample_stem
+
 LAYOUT = ("split", "sensor")
 
 
@@ -13,23 +15,30 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = LAYOUT
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_label_lines(lines: DataFrame, path: str) -> None:
+    """Label lines as Parquet per split and sensor, the stem in a column; ``read_label_lines`` reads them back."""
+    write_table(lines.select(*LAYOUT, "stem", "line_no", "line"), path)
+
+
 def write_label_text(lines: DataFrame, path: str) -> None:
-    """Label files as text: one folder per split, sensor and stem, empty frames included.
+    """Label text, one record per stem, in folders per split and sensor: ``stem``, a tab, and the lines in order.
 
-    Lines of a stem are gathered in order into one record; a frame without boxes is an empty one.
+    A frame without boxes is a stem without lines. The number of folders does not grow with the frames.
     """
     body = F.transform(
         F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line_no", "line")))), lambda r: r["line"]
     )
-    files = lines.groupBy(*LAYOUT, "stem").agg(F.array_join(body, "\n").alias("value"))
-    files.write.mode("overwrite").partitionBy(*LAYOUT, "stem").text(path)
+    files = lines.groupBy(*LAYOUT, "stem").agg(F.array_join(body, "\t").alias("_body"))
+    record = files.select(*LAYOUT, F.concat_ws("\t", "stem", F.nullif("_body", F.lit(""))).alias("value"))
+    record.write.mode("overwrite").partitionBy(*LAYOUT).text(path)
 
 
 def write_obb_text(samples: DataFrame, path: str) -> None:
-    """Oriented-box lines as text: one folder per split and sample, in line order."""
+    """Oriented-box text, one record per sample in folders per split: its number, a tab, and its lines in order."""
     gathered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"])
-    files = samples.groupBy("split", "sample_index").agg(F.array_join(gathered, "\n").alias("value"))
-    files.write.mode("overwrite").partitionBy("split", "sample_index").text(path)
+    files = samples.groupBy("split", "sample_index").agg(F.array_join(gathered, "\t").alias("_body"))
+    record = files.select("split", F.concat_ws("\t", sample_stem(F.col("sample_index")), "_body").alias("value"))
+    record.write.mode("overwrite").partitionBy("split").text(path)
 
 
 def write_track_json(records: DataFrame, path: str) -> None:

@@ -1,14 +1,16 @@
 """Whole jobs on files."""
 
 import json
+import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 import scanmill
 from scanmill.config import MODELS
-from scanmill.operators import samples
-from scanmill.plans.dataset import DEFAULT_OUTPUTS, OUTPUTS
+from scanmill.operators import history, samples, splits
+from scanmill.plans.dataset import DEFAULT_OUTPUTS, OUTPUTS, generated_labels, split_keys
 from scanmill.sources import checkpoints, readers, schemas, writers
 from workbench import fixtures as fx
 
@@ -36,19 +38,39 @@ def test_whole_dataset_is_written(spark, inputs, tmp_path):
     assert lines.filter("line is null").count() > 0
 
     writers.write_label_text(lines, str(tmp_path / "text"))
-    back = spark.read.text(str(tmp_path / "text"))
-    assert back.filter("value <> ''").count() == lines.filter("line is not null").count()
+    back = spark.read.text(str(tmp_path / "text")).select(F.split("value", "\t").alias("parts"))
+    assert back.count() == lines.select("split", "sensor", "stem").distinct().count()
+    assert back.agg(F.sum(F.size("parts") - 1)).first()[0] == lines.filter("line is not null").count()
 
-    done = scanmill.to_obb_samples(
-        lines.filter("line is not null"), spark.read.parquet(folders["images_height"]).withColumn(
-            "stem", F.format_string("%s_%s_%03d", "sequence", "sensor", "frame_index")), splits=["training"])
+    stored, stems = generated_labels(spark, str(tmp_path), splits=["training"])
+    assert stored.columns == ["split", "sensor", "stem", "line_no", "line"]
+    done = scanmill.to_obb_samples(stored, stems)
     assert done.select("split").distinct().collect()[0].split == "training"
+    numbers = samples.sample_numbers(samples.parsed_labels(stored), stems)
+    totals = samples.samples_per_split(numbers).first()
+    assert totals.n_samples == numbers.count() and totals.n_boxes == done.count()
+    for row in samples.sample_mapping(numbers).collect():
+        assert row.stem == f"{row.sequence}_{row.sensor}_{row.frame_index:03d}"
     writers.write_obb_text(done, str(tmp_path / "obb"))
+    assert spark.read.text(str(tmp_path / "obb")).count() == totals.n_samples
     writers.write_manifest(samples.split_manifest(done, "/out"), str(tmp_path / "manifest"))
     paths = [r.value for r in spark.read.text(str(tmp_path / "manifest")).collect()]
     assert sorted(paths)[0] == "/out/images/training/0000000.png" and len(paths) == done.select("sample_index").distinct().count()
 
 
+def test_dense_points_meet_the_split_by_frame(spark, inputs):
+    sampled = splits.sampled_split(fx.split_list(spark, SF), fx.frames(spark, SF), data_percent=60.0)
+    keys = split_keys(inputs[0], sampled)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = inputs[1].join(keys, ["sequence", "frame_index"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[: plan.index("lineitem")].splitlines()
+    joins = [line for line in above if "hashpartitioning(sequence" in line and "frame_index" in line]
+    assert joins, "points are dealt by frame"
+
+
 def test_build_checks_its_outputs(spark, inputs):
     with pytest.raises(ValueError, match="unknown outputs"):
         scanmill.build_dataset(*inputs, MODELS["scala"], outputs=["video"])
@@ -65,7 +87,11 @@ def test_label_files_and_raster_listing(spark, tmp_path):
             for i in range(2):
                 (folder / f"seq_{sensor}_{i:03d}.{ending}").write_text(body)
     (tmp_path / "training" / "rear_left" / "labels" / "seq_rear_left_002.txt").write_text("")
-    lines = readers.read_label_text(spark, str(tmp_path), ["training"]).withColumn("line_no", F.lit(0))
+    with pytest.warns(UserWarning, match="validation"):
+        lines = readers.read_label_text(spark, str(tmp_path), ["training", "validation"])
+    assert sorted((r.stem, r.line_no) for r in lines.collect())[:3] == [("seq_front_left_000", 0), ("seq_front_left_000", 1), ("seq_front_left_000", 2)]
+    with pytest.warns(UserWarning):
+        assert readers.list_rasters(spark, str(tmp_path), ["testing"], "height").count() == 0
     images = readers.list_rasters(spark, str(tmp_path), ["training"], "height")
     assert images.count() == 4 and images.columns == ["split", "sensor", "stem"]
     done = scanmill.to_obb_samples(lines, images).orderBy("sample_index").collect()
@@ -76,7 +102,7 @@ def test_label_files_and_raster_listing(spark, tmp_path):
 
 
 def test_split_lists_and_tables(spark, inputs, tmp_path):
-    (tmp_path / "train.txt").write_text("a\n b \n")
+    (tmp_path / "train.txt").write_text("a\t\n b \n")
     (tmp_path / "val.txt").write_text("c\n")
     got = {tuple(r) for r in readers.read_split_list(spark, str(tmp_path), ["train", "val"]).collect()}
     assert got == {("train", "a"), ("train", "b"), ("val", "c")}
@@ -94,3 +120,22 @@ def test_written_tables_and_checkpoints(spark):
     assert checkpoints.written(df).agg(F.sum("v")).first()[0] == 90
     assert checkpoints.cut_lineage(df).count() == 10
     assert json.dumps(checkpoints.shared_folder(spark))
+    with checkpoints.Scratch(spark) as scratch:
+        table = scratch.written(df)
+        assert table.count() == 10 and os.path.isdir(scratch.folder.removeprefix("file:"))
+    assert not os.path.exists(scratch.folder.removeprefix("file:"))
+
+
+def test_a_cluster_must_name_its_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoints.shared_folder(session)
+
+
+def test_frames_of_one_stamp_need_a_tie_break(spark):
+    rows = spark.createDataFrame([("s", 5, 2), ("s", 5, 1), ("s", 3, 9)], "sequence string, timestamp_micros long, record int")
+    numbered = {r.record: r.frame_index for r in history.frame_ordinals(rows, ties=["record"]).collect()}
+    assert numbered == {9: 0, 1: 1, 2: 2}
+    with pytest.raises(Exception, match="without an order"):
+        history.frame_ordinals(rows.drop("record")).collect()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scanmill.config import SENSOR_NAMES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,7 +94,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SENSORS = ("front_left", "front_center", "front_right", "rear_left", "rear_center", "rear_right")
+SENSORS = SENSOR_NAMES
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:

@@ -56,6 +56,7 @@ BOXES = """boxes0 as (
   from part
 )"""
 
+# Sensor names, padding (below), the disc of a stamp and the signs of box corners.
 SENSOR_LIST = "['front_left', 'front_center', 'front_right', 'rear_left', 'rear_center', 'rear_right']"
 
 LABEL_TEXT = f"""label_text as (
@@ -214,6 +215,20 @@ oracle("frame_ordinals", f"""with {FRAMES}
 select sequence, cast(timestamp_micros as bigint) as timestamp_micros,
   row_number() over (partition by sequence order by timestamp_micros) - 1 as frame_index from frames0""")
 
+oracle("frame_ordinals_ties", f"""with {FRAMES}, stamped as (select sequence, frame_no, cast(timestamp_micros as bigint) // 400000 * 400000 as timestamp_micros from frames0)
+select sequence, timestamp_micros, cast(frame_no as bigint) as frame_no,
+  row_number() over (partition by sequence order by timestamp_micros, frame_no) - 1 as frame_index from stamped""")
+
+oracle("split_points", f"""with {FRAMES}, {POINTS}, listed as (
+  select distinct case when seq % 5 < 4 then 'train' else 'val' end split, sequence from frames0
+  union all values ('train', 'segment-missing-1'), ('val', 'segment-missing-2')
+), drawn as (
+  select *, row_number() over (partition by split order by md5('0:' || sequence)) rn, count(*) over (partition by split) n from listed
+)
+select case split when 'train' then 'training' else 'validation' end as split, p.sequence, cast(p.frame_index as bigint) as frame_index, point_ord, {reals('x', 'y', 'z')}
+from points0 p join drawn d on d.sequence = p.sequence and rn <= floor(n * 60.0::double / 100.0::double)
+join frames0 f on f.sequence = p.sequence and f.frame_index = p.frame_index""")
+
 oracle("ray_walk", f"""with {POINTS}, {mounts(MODELS['scala'])}, walks as (
   select *, greatest(abs(dx), abs(dy), abs(dz)) len from (
     select sequence, frame_index, point_ord, {", ".join(f"cast(floor(s{a} / 0.1::double) as int) v0{a}" for a in "xyz")},
@@ -356,6 +371,25 @@ for _rotation in ("inverse_yaw", "forward_yaw", "pinned"):
     oracle(f"box_counts_{_rotation.split('_')[0]}", f"""with {SCAN}, {kept(_rotation)}
 select sequence, sensor, {big('frame_index', 'box_ord', 'type', 'num_points', 'num_points_scan')} from kept""")
 
+oracle("box_counts_far", f"""with {POINTS}, {BOXES}, {mounts(MODELS['scala'])}, far as (
+  select sequence, frame_index, box_ord, type, cx + 400 as cx, cy, cz, heading, k * length as length, k * width as width, k * height as height
+  from (select *, case when box_ord % 7 = 0 then 30.0::double else 1.0::double end k from boxes0)
+), seen as (
+  select * from (select b.*, m.sensor, degrees(atan2(cy - sy, cx - sx)) - yaw_deg + 180.0::double as turn from far b, mounts m where type in (1, 2, 4))
+  where sensor = 'front_center' and abs(turn - 360.0::double * floor(turn / 360.0::double) - 180.0::double) <= 72.5::double
+)
+select b.sequence, cast(b.frame_index as bigint) as frame_index, b.sensor, cast(b.box_ord as bigint) as box_ord, count(*) as n
+from seen b join points0 p on p.sequence = b.sequence and p.frame_index = b.frame_index
+  and abs(cos(heading) * (x + 400 - cx) + sin(heading) * (y - cy)) <= length / 2
+  and abs(-sin(heading) * (x + 400 - cx) + cos(heading) * (y - cy)) <= width / 2 and abs(z - cz) <= height / 2
+group by all""")
+
+oracle("sparse_scan_repeats", f"""with {SCAN}, coarse as (
+  select sequence, frame_index, sensor, ray_id, {", ".join(f"cast(floor(cast({a} as double)) as float) as {a}" for a in "xyz")}, intensity from scan
+)
+select sequence, sensor, {big('frame_index', 'ray_id')}, {reals('x', 'y', 'z', 'intensity')} from coarse
+qualify row_number() over (partition by sequence, frame_index, sensor, x, y, z order by ray_id) = 1""")
+
 _BX, _BY, _BZ = to_sensor("cx", "cy", "cz")
 LABELS = f"""{kept('inverse_yaw')}, labels0 as (
   select k.sequence, k.frame_index, k.sensor, box_ord, case type when 1 then 'Vehicle' when 2 then 'Pedestrian' else 'Cyclist' end as name,
@@ -410,6 +444,17 @@ select sequence, sensor, {big('frame_index', 'source_frame', 'k')} from pairs"""
 oracle("ego_motion", f"""with {SCAN}, {MOVES}
 select sequence, sensor, {big('frame_index', 'k')}, {reals(*[f'r{i}{j}' for i in range(3) for j in range(3)], 't0', 't1', 't2')} from moves""")
 
+_BACK = [[" + ".join(f"c.m{i}{a} * s.m{j}{a}" for a in range(3)) for j in range(3)] for i in range(3)]
+_BACK_SHIFT = [f"c.m{i}3 - (" + " + ".join(f"({_BACK[i][j]}) * s.m{j}3" for j in range(3)) + ")" for i in range(3)]
+_BACK_FIELDS = ", ".join(
+    f"case when k = 0 then {1.0 if i == j else 0.0}::double else {_BACK[i][j]} end r{i}{j}" for i in range(3) for j in range(3)
+) + ", " + ", ".join(f"case when k = 0 then 0.0::double else {v} end t{i}" for i, v in enumerate(_BACK_SHIFT))
+oracle("ego_motion_inverse", f"""with {SCAN}, {FRAMES}, {PAIRS}, moves as (
+  select p.*, {_BACK_FIELDS} from pairs p join frames0 c on c.sequence = p.sequence and c.frame_index = p.frame_index
+  join frames0 s on s.sequence = p.sequence and s.frame_index = p.source_frame
+)
+select sequence, sensor, {big('frame_index', 'k')}, {reals(*[f'r{i}{j}' for i in range(3) for j in range(3)], 't0', 't1', 't2')} from moves""")
+
 _PX = [f"(r{i}0 * cast(x as double) + r{i}1 * cast(y as double) + r{i}2 * cast(z as double) + t{i})" for i in range(3)]
 _FX, _FY, _FZ = to_sensor(*_PX)
 for _n in (2, 4):
@@ -421,6 +466,8 @@ for _n in (2, 4):
 )
 select sequence, sensor, {big('frame_index', 'k', 'ray_id')}, {reals('x', 'y', 'z', 'intensity', 'dt_norm')} from fused""")
 
+oracle("points_horizon", ORACLES["points_4f"].replace("greatest(-1.0::float, least(0.0::float, cast((source_ts - ts) / 300000.0::double as float)))", "cast((source_ts - ts) / 250000.0::double as float)"))
+
 _CX = [f"(r{i}0 * cx + r{i}1 * cy + r{i}2 * cz + t{i})" for i in range(3)]
 _TX, _TY, _TZ = to_sensor(*_CX)
 for _n in (2, 4):

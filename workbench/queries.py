@@ -14,6 +14,7 @@ from scanmill.functions.voxels import voxel_index, walk_length
 from scanmill.operators import box_filter, first_hit, fusion, history, labels, range_image, rasters, samples
 from scanmill.operators import sensor_frame, splits, tracks, voxel_groups
 from scanmill.operators.rays import ray_cells
+from scanmill.plans.dataset import split_keys
 from scanmill.sources.checkpoints import written
 from workbench import fixtures as fx
 
@@ -79,6 +80,22 @@ def frame_ordinals(spark, d):
     return history.frame_ordinals(frames)
 
 
+@query
+def frame_ordinals_ties(spark, d):
+    """Stamps that several frames share; the record's number settles their order."""
+    frames = fx.frames(spark, d).withColumn("timestamp_micros", F.floor(F.col("timestamp_micros") / 400_000) * 400_000)
+    return history.frame_ordinals(frames.select("sequence", "timestamp_micros", "frame_no"), ties=["frame_no"])
+
+
+@query
+def split_points(spark, d):
+    """Dense points of the sampled split with its folder."""
+    sampled = splits.sampled_split(fx.split_list(spark, d), fx.frames(spark, d), data_percent=60.0)
+    keys = written(split_keys(fx.frames(spark, d), sampled))
+    points = fx.points(spark, d).join(keys, ["sequence", "frame_index"])
+    return points.select("split", "sequence", "frame_index", "point_ord", "x", "y", "z")
+
+
 @query
 def ray_walk(spark, d):
     """Cells on the way from the centre mount to every point: how many, the last one, and index sums."""
@@ -188,6 +205,23 @@ def box_counts_pinned(spark, d):
     return _counts(spark, d, "pinned")
 
 
+@query
+def box_counts_far(spark, d):
+    """All points and boxes moved far beyond the sensor's range, every seventh box thirty times as large."""
+    scan = fx.points(spark, d).withColumns({"x": F.col("x") + 400, "sensor": F.lit("front_center")})
+    size = F.when(F.col("box_ord") % 7 == 0, 30.0).otherwise(1.0)
+    moved = fx.boxes(spark, d).withColumns({"cx": F.col("cx") + 400, **{c: F.col(c) * size for c in ("length", "width", "height")}})
+    seen = box_filter.boxes_in_view(moved, SCALA).filter(F.col("sensor") == "front_center")
+    return box_filter.box_point_counts(scan, seen, SCALA)
+
+
+@query
+def sparse_scan_repeats(spark, d):
+    """The scan on a grid of a metre, where many points coincide."""
+    coarse = {a: F.floor(F.col(a).cast("double")).cast("float") for a in "xyz"}
+    return first_hit.distinct_scan_points(_scan(spark, d).withColumns(coarse))
+
+
 @query
 def label_boxes(spark, d):
     return _labels(spark, d, _scan(spark, d))
@@ -211,6 +245,20 @@ def ego_motion(spark, d):
     return moves.select("sequence", "sensor", "frame_index", "k", *MOTION_FIELDS)
 
 
+@query
+def ego_motion_inverse(spark, d):
+    """Poses read as world to vehicle."""
+    pairs = history.history_pairs(labels.non_empty_scans(_scan_table(spark, d)))
+    moves = history.history_with_motion(pairs, fx.frames(spark, d), "world_to_vehicle")
+    return moves.select("sequence", "sensor", "frame_index", "k", *MOTION_FIELDS)
+
+
+@query
+def points_horizon(spark, d):
+    """Time offsets over a fixed horizon, not clipped."""
+    return fusion.fuse_frames(_scan_table(spark, d), fx.frames(spark, d), SCALA, 4, fixed_horizon_s=0.25, clip=None)
+
+
 @query
 def points_2f(spark, d):
     return fusion.fuse_frames(_scan_table(spark, d), fx.frames(spark, d), SCALA, 2)

@@ -142,14 +142,15 @@ def train(docs: DataFrame) -> Model:
     sizes = examples.groupBy("family").agg((1 / F.count("*")).alias("weight"))
     rows = examples.join(sizes, "family").withColumn("label", label)
     counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2, binary=True).fit(rows)
-    ready = written(counted.transform(rows).select("features", "label", "weight", "held", "grams"))
+    ready = written(counted.transform(rows).select("features", "label", "weight", "held", "grams").repartition(2))
     fitted = LogisticRegression(
-        family="multinomial", maxIter=60, regParam=0.0005, elasticNetParam=0.5, weightCol="weight", standardization=False
+        family="multinomial", maxIter=30, regParam=0.0005, elasticNetParam=0.5, weightCol="weight", standardization=False
     ).fit(ready.filter("not held"))
     present = len(fitted.interceptVector)
     matrix = fitted.coefficientMatrix.toArray()
     used = matrix.any(axis=0).nonzero()[0]
-    rows = json.dumps([{"gram": counted.vocabulary[g], "w": matrix[:, g].tolist()} for g in used])
+    vocabulary = counted.vocabulary
+    rows = json.dumps([{"gram": vocabulary[g], "w": matrix[:, g].tolist()} for g in used])
     parsed = F.from_json(F.lit(rows), "array<struct<gram: string, w: array<double>>>")
     weights = written(spark.range(1).select(F.explode(parsed).alias("r")).select("r.gram", "r.w"))
     model = Model(families[:present], tuple(fitted.interceptVector.toArray().tolist()), 1.0, weights)

@@ -20,6 +20,8 @@ SHARD = 256
 BATCH_BYTES = 2 << 20
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _STEP = 1 << 20
+_BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
+"""A difference of two words below the k-th of these leaves their first 8 - k bytes equal."""
 
 
 def _joined(left: np.ndarray, right: np.ndarray, level: int) -> np.ndarray:
@@ -85,17 +87,17 @@ def suffix_array(words: np.ndarray) -> np.ndarray:
     """All suffixes in order, by Larsson-Sadakane refinement: suffixes are grouped by eight bytes, then groups of more
     than one are split by the group of the suffix 8, 16, 32 ... further on, until each stands alone."""
     n = len(words)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words, kind="stable").astype(np.int32)
     new = np.r_[True, words[order][1:] != words[order][:-1]]
     heads = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n + 1, np.int32)
+    rank[n] = -1
     rank[order] = np.repeat(heads, np.diff(np.r_[heads, n]))
-    open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))
+    open_ = np.flatnonzero(~(new & np.r_[new[1:], True])).astype(np.int32)
     step = 8
     while len(open_):
         suffix = order[open_]
-        after = suffix + step
-        pair = rank[suffix] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        pair = rank[suffix].astype(np.int64) * (n + 1) + rank[np.minimum(suffix + step, n)]
         by_pair = np.argsort(pair, kind="stable")
         suffix, pair = suffix[by_pair], pair[by_pair]
         order[open_] = suffix
@@ -107,54 +109,55 @@ def suffix_array(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's common prefix of each suffix and the one before it in `order`, up to `most` bytes, by place in `order`.
+def common_prefixes(words: np.ndarray, order: np.ndarray, starts: np.ndarray, spans: np.ndarray, most: int) -> np.ndarray:
+    """Kasai's common prefix of each suffix in `order` and the one before it, up to `most` bytes.
 
-    The texts that start at `starts` are walked together, one byte a round: a suffix shares with its neighbour at least
-    one byte less than the suffix a byte before it did, so only what lies beyond is compared."""
+    `order` holds the first `spans` suffixes of the texts at `starts`. The texts are walked together, a byte a round: if
+    a suffix shares h bytes with the one before it, both without their first byte share h - 1 and stand in the same
+    order, so the next suffix shares as many with its own neighbour, and only what lies beyond is compared. Where the
+    neighbour's next suffix is not in `order`, the count starts anew."""
     n = len(words)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    found = np.zeros(n, np.int64)
-    by_size = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[by_size], sizes[by_size]
+    place = np.full(n + 1, -1, np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    found = np.zeros(len(order), np.int64)
+    by_span = np.argsort(-spans, kind="stable")
+    starts, spans = starts[by_span], spans[by_span]
     shared = np.zeros(len(starts), np.int64)
-    for step in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -step, "left"))
+    for step in range(int(spans[0]) if len(spans) else 0):
+        live = int(np.searchsorted(-spans, -step, "left"))
         here = starts[:live] + step
         at = place[here]
         before = order[np.maximum(at - 1, 0)]
-        length = np.maximum(shared[:live] - 1, 0)
+        length = shared[:live]
         length[at == 0] = 0
         todo = np.flatnonzero((at > 0) & (length < most))
         while len(todo):
             a, b = here[todo] + length[todo], before[todo] + length[todo]
-            inside = (a < n) & (b < n)
-            todo, a, b = todo[inside], a[inside], b[inside]
-            differ = words[a] ^ words[b]
-            equal = sum((differ < np.uint64(1 << (8 * k))).astype(np.int64) for k in range(8))
+            inside = np.maximum(a, b) < n
+            if not inside.all():
+                todo, a, b = todo[inside], a[inside], b[inside]
+            equal = 8 - np.searchsorted(_BYTES, words[a] ^ words[b], "right")
             length[todo] += equal
             todo = todo[(equal == 8) & (length[todo] < most)]
-        shared[:live] = length
         found[at] = np.minimum(length, most)
+        shared = np.where((at > 0) & (place[before + 1] >= 0), np.maximum(length - 1, 0), 0)
     return found
 
 
 def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each context, which of its windows of `length` bytes occur as windows twice or more in all of them."""
     sizes = np.array([len(c) for c in contexts])
-    starts = np.cumsum(sizes) - sizes
+    starts, spans = np.cumsum(sizes) - sizes, sizes - length + 1
     words = _words(np.frombuffer(b"".join(contexts), np.uint8))
+    edges = np.zeros(len(words) + 1, np.int8)
+    edges[starts] += 1
+    edges[starts + spans] -= 1
     order = suffix_array(words)
-    group = np.cumsum(common_prefixes(words, order, starts, sizes, length) < length)
-    window = np.ones(len(words), bool)
-    for i in range(1, length):
-        window[starts + sizes - i] = False
-    is_window = window[order]
-    often = np.bincount(group[is_window], minlength=int(group[-1]) + 1) > 1
+    order = order[np.cumsum(edges[:-1])[order] > 0]
+    group = np.cumsum(common_prefixes(words, order, starts, spans, length) < length)
     repeated = np.zeros(len(words), bool)
-    repeated[order] = is_window & often[group]
-    return [repeated[s : s + n - length + 1] for s, n in zip(starts, sizes, strict=True)]
+    repeated[order] = np.bincount(group)[group] > 1
+    return [repeated[s : s + n] for s, n in zip(starts, spans, strict=True)]
 
 
 def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:

@@ -6,7 +6,8 @@ voxel puts every frame's near field on the same few keys. The walk of a ray is a
 so it can be turned round: from a point's voxel follows the step at which any ray could visit
 it and the narrow range of slopes such a ray must have. Points therefore look up a table of
 rays only, hashed by slope bucket, and the closed form decides the match exactly. Points are
-not shuffled before they are reduced to candidates.
+not shuffled before they are reduced to candidates, but for those next to a mount, which meet
+the first occupied voxel of each ray.
 """
 
 from __future__ import annotations
@@ -25,21 +26,33 @@ from scanmill.operators.rays import mount_array, ray_table
 
 FRAME = ("sequence", "frame_index")
 SCAN_KEYS = (*FRAME, "sensor")
+POINT = ("point_ord", "x", "y", "z", "intensity")
+RAY = ("sx", "sy", "sz", "ux", "uy", "uz", "uu")
 
-# Slope buckets per unit of slope. A slope lies in [-1, 1].
-BUCKETS = 64
-_SPAN = 2 * BUCKETS + 1
+# Slope buckets per unit of slope, from the mount outwards: a point looks in the level of its own distance in
+# cells, where it meets a handful of buckets. A slope lies in [-1, 1].
+LEVELS = (1, 2, 4, 8, 16, 32, 64)
+_SPAN = 2 * LEVELS[-1] + 1
+
+# Cells from the mount between which rays are matched with occupied voxels before points: there one voxel is on many
+# rays. Closer in, a point of a voxel on the ray may lie behind the ray's start.
+NEAR = (3, 16)
 
 # Most rays of one rig: its table (about 150 bytes a row) goes to every executor. The count follows from the
 # sensor model alone, never from the data; a larger rig is split by mounts.
 RAY_LIMIT = 1_000_000
 
 
-def _direction_key(mount: Column, axis: Column, positive: Column, bu: Column, bw: Column) -> Column:
+def _step() -> Column:
+    """Cells from the mount's voxel to a point's along the axis on which it is farthest."""
+    return F.greatest(F.abs("ox"), F.abs("oy"), F.abs("oz"))
+
+
+def _direction_key(mount: Column, axis: Column, positive: Column, level: Column, bu: Column, bw: Column) -> Column:
     face = axis * 2 + positive.cast("int")
-    cell = (bu + BUCKETS) * _SPAN + (bw + BUCKETS)
+    cell = (bu + LEVELS[-1]) * _SPAN + (bw + LEVELS[-1])
     # Never null, so that the join adds no null test that repeats the whole expression.
-    return F.coalesce(((mount * 6 + face) * (_SPAN * _SPAN) + cell).cast("long"), F.lit(-1))
+    return F.coalesce((((mount * 6 + face) * (LEVELS[-1] + 1) + level).cast("long") * (_SPAN * _SPAN) + cell), F.lit(-1).cast("long"))
 
 
 def _axis_views(x: str, y: str, z: str) -> Column:
@@ -58,8 +71,9 @@ def _hashed_rays(rays: DataFrame) -> DataFrame:
     rays = rays.select(*kept, "mount", F.col("axis").alias("driving"), F.inline(_axis_views("dx", "dy", "dz")))
     rays = rays.filter(F.col("axis") == F.col("driving"))
     span = F.greatest(F.col("length"), F.lit(1))
-    bu, bw = (F.floor(F.col(c) * BUCKETS / span).cast("int") for c in "uw")
-    key = _direction_key(F.col("mount"), F.col("axis"), F.col("major") > 0, bu, bw)
+    rays = rays.withColumn("level", F.explode(F.array(*map(F.lit, LEVELS))))
+    bu, bw = (F.floor(F.col(c) * F.col("level") / span).cast("int") for c in "uw")
+    key = _direction_key(F.col("mount"), F.col("axis"), F.col("major") > 0, F.col("level"), bu, bw)
     return rays.select(key.alias("direction"), *kept, F.col("u").alias("du"), F.col("w").alias("dw"))
 
 
@@ -90,26 +104,14 @@ def _may_be_seen(model: SensorModel, voxel_size: float) -> Column:
 
 def _bucket_range(offset: str) -> Column:
     """Slope buckets of the rays that can reach this minor offset after ``step`` cells."""
-    low = F.floor((F.col(offset) - 0.5) / F.col("step") * BUCKETS - 1e-6)
-    high = F.floor((F.col(offset) + 0.5) / F.col("step") * BUCKETS + 1e-6)
-    return F.sequence(
-        F.greatest(low, F.lit(-BUCKETS)).cast("int"), F.least(high, F.lit(BUCKETS)).cast("int")
-    )
-
+    most = F.col("level")
+    low = F.floor((F.col(offset) - 0.5) / F.col("step") * most - 1e-6)
+    high = F.floor((F.col(offset) + 0.5) / F.col("step") * most + 1e-6)
+    return F.sequence(F.greatest(low, -most).cast("int"), F.least(high, most).cast("int"))
 
-def ray_candidates(
-    points: DataFrame, model: SensorModel, voxel_size: float = 0.1, precision: str = "double"
-) -> DataFrame:
-    """All (point, ray) pairs where the ray's walk visits the point's voxel.
-
-    ``points`` needs ``sequence, frame_index, point_ord, x, y, z`` and may have ``intensity``
-    (zero when absent). Adds ``sensor, ray_id, step, t, offset`` and the ray's start and direction; points behind
-    the sensor are dropped.
-    """
-    if model.ray_count > RAY_LIMIT:
-        raise ValueError(f"{model.ray_count} rays; scan the mounts of a rig beyond {RAY_LIMIT} in several calls")
-    rays = F.broadcast(_hashed_rays(ray_table(points.sparkSession, model, voxel_size, precision)))
 
+def _offset_points(points: DataFrame, model: SensorModel, voxel_size: float, precision: str) -> DataFrame:
+    """Points once per mount that may see them, with the offset ``ox, oy, oz`` of their voxel from the mount's."""
     intensity = F.col("intensity") if "intensity" in points.columns else F.lit(0.0)
     seen = points.select(
         *FRAME, "point_ord", "x", "y", "z", intensity.cast("float").alias("intensity"),
@@ -117,23 +119,21 @@ def ray_candidates(
     ).select("*", F.explode(mount_array(model, voxel_size=voxel_size)).alias("m"))
     offsets = {f"o{a}": F.col(f"p{a}") - F.col(f"m.v0{a}") for a in "xyz"}
     seen = seen.select(
-        *FRAME, "point_ord", "x", "y", "z", "intensity",
-        F.col("m.mount").alias("mount"), F.col("m.yaw").alias("yaw"),
-        *[o.alias(n) for n, o in offsets.items()],
-    ).filter(_may_be_seen(model, voxel_size))
+        *FRAME, *POINT, F.col("m.mount").alias("mount"), F.col("m.yaw").alias("yaw"), *[o.alias(n) for n, o in offsets.items()],
+    )
+    return seen.filter(_may_be_seen(model, voxel_size)).drop("yaw").filter(_step() > 0)
+
 
+def _rays_through(seen: DataFrame, rays: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """Rows of ``seen`` (``kept``, mount, ox, oy, oz) with every ray whose walk visits their voxel, and at which step."""
     # A walk's driving axis has the largest offset at every step; on a tie several axes qualify.
-    reach = F.greatest(F.abs("ox"), F.abs("oy"), F.abs("oz"))
-    seen = seen.select(
-        *FRAME, "point_ord", "x", "y", "z", "intensity", "mount", reach.alias("step"),
-        F.inline(_axis_views("ox", "oy", "oz")),
-    ).filter((F.abs("major") == F.col("step")) & (F.col("step") > 0))
+    level = F.coalesce(*[F.when(F.col("step") <= n, F.lit(n)) for n in LEVELS], F.lit(LEVELS[-1]))
+    seen = seen.select(*kept, "mount", _step().alias("step"), F.inline(_axis_views("ox", "oy", "oz"))).filter(F.abs("major") == F.col("step"))
+    seen = seen.withColumn("level", level)
     seen = seen.withColumn("bu", F.explode(_bucket_range("u")))
     seen = seen.withColumn("bw", F.explode(_bucket_range("w")))
-    key = _direction_key(F.col("mount"), F.col("axis"), F.col("major") > 0, F.col("bu"), F.col("bw"))
-    seen = seen.select(
-        *FRAME, "point_ord", "x", "y", "z", "intensity", "step", "u", "w", key.alias("direction")
-    )
+    key = _direction_key(F.col("mount"), F.col("axis"), F.col("major") > 0, F.col("level"), F.col("bu"), F.col("bw"))
+    seen = seen.select(*kept, "step", "u", "w", key.alias("direction"))
 
     def visits(delta: str, offset: str) -> Column:
         reached = minor_offset(F.abs(delta), F.col("length"), F.col("step"))
@@ -142,15 +142,58 @@ def ray_candidates(
     pairs = seen.join(rays, "direction").filter(
         (F.col("step") <= F.col("length")) & visits("du", "u") & visits("dw", "w")
     )
+    return pairs.select(*kept, "sensor", "ray_id", "step", *RAY)
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    """Pairs of points and rays with the place ``t`` on the ray and the distance ``offset`` from it; points behind drop out."""
     start, direction = (tuple(F.col(f"{p}{a}") for a in "xyz") for p in "su")
     point = tuple(F.col(a).cast("double") for a in "xyz")
     t = settled(ray_parameter(start, direction, F.col("uu"), point), 12)
     pairs = pairs.withColumn("t", t).filter(F.col("t") >= 0)
     pairs = pairs.withColumn("offset", settled(ray_offset(start, direction, point, F.col("t")), 9))
-    return pairs.select(
-        *SCAN_KEYS, "ray_id", "step", "offset", "t", "point_ord", "x", "y", "z", "intensity",
-        "sx", "sy", "sz", "ux", "uy", "uz",
-    )
+    return pairs.select(*SCAN_KEYS, "ray_id", "step", "offset", "t", *POINT, *[c for c in RAY if c != "uu"])
+
+
+def _rays(points: DataFrame, model: SensorModel, voxel_size: float, precision: str) -> DataFrame:
+    if model.ray_count > RAY_LIMIT:
+        raise ValueError(f"{model.ray_count} rays; scan the mounts of a rig beyond {RAY_LIMIT} in several calls")
+    return F.broadcast(_hashed_rays(ray_table(points.sparkSession, model, voxel_size, precision)))
+
+
+def ray_candidates(
+    points: DataFrame, model: SensorModel, voxel_size: float = 0.1, precision: str = "double"
+) -> DataFrame:
+    """All (point, ray) pairs where the ray's walk visits the point's voxel.
+
+    ``points`` needs ``sequence, frame_index, point_ord, x, y, z`` and may have ``intensity``
+    (zero when absent). Adds ``sensor, ray_id, step, t, offset`` and the ray's start and direction; points behind
+    the sensor are dropped.
+    """
+    seen = _offset_points(points, model, voxel_size, precision)
+    return _measured(_rays_through(seen, _rays(points, model, voxel_size, precision), (*FRAME, *POINT)))
+
+
+def first_candidates(
+    points: DataFrame, model: SensorModel, voxel_size: float = 0.1, precision: str = "double"
+) -> DataFrame:
+    """The pairs of :func:`ray_candidates` that can still be first hits.
+
+    Near a mount a voxel is on up to thousands of rays and may hold many points. There rays meet the distinct
+    occupied voxels, a number bounded by the grid and not by the cloud, and each ray keeps its first; only points of
+    that voxel are paired with it.
+    """
+    rays = _rays(points, model, voxel_size, precision)
+    seen = _offset_points(points, model, voxel_size, precision)
+    near = _step().between(*NEAR)
+    others = _rays_through(seen.filter(~near), rays, (*FRAME, *POINT))
+    cell = ("mount", "ox", "oy", "oz")
+    voxels = seen.filter(near).select(*FRAME, *cell).distinct()
+    found = _rays_through(voxels.withColumn("m", F.col("mount")), rays, (*FRAME, "m", "ox", "oy", "oz"))
+    first = found.groupBy("frame_index", "ray_id", "sensor", "sequence").agg(F.min_by(F.struct("m", "ox", "oy", "oz", "step", *RAY), "step").alias("v"))
+    first = first.select(*SCAN_KEYS, "ray_id", F.col("v.m").alias("mount"), *[f"v.{c}" for c in ("ox", "oy", "oz", "step", *RAY)])
+    paired = seen.filter(near).join(first, [*FRAME, *cell]).select(*FRAME, *POINT, "sensor", "ray_id", "step", *RAY)
+    return _measured(others.unionByName(paired))
 
 
 def first_hits(
@@ -163,7 +206,7 @@ def first_hits(
     """
     # Whole numbers first: the sort compares their prefix before it looks at a name.
     ray = Window.partitionBy("ray_id", "frame_index", "sensor", "sequence").orderBy("step", "offset", "t", "point_ord")
-    candidates = ray_candidates(points, model, voxel_size, precision)
+    candidates = first_candidates(points, model, voxel_size, precision)
     return candidates.withColumn("_rank", F.row_number().over(ray)).filter(F.col("_rank") == 1).drop("_rank")
 
 

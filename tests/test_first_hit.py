@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scanmill.config import MODELS, SensorModel, SensorMount, sensor_model
 from scanmill.operators import first_hit
@@ -79,6 +80,21 @@ def test_lookup_equals_walking_every_cell(spark, name, precision):
     assert got.count() == len(a)
 
 
+@pytest.mark.parametrize("name", ["scala", "scala2"])
+def test_first_candidates_keep_every_first_hit(spark, name):
+    """The near field's short cut gives the hits of all candidates, and far fewer pairs."""
+    model = MODELS[name].select(["front_left"])
+    mount = model.mounts[0]
+    rng = np.random.default_rng(5)
+    r, az = rng.uniform(0.3, 1.7, 2000), np.radians(mount.yaw_deg + rng.uniform(-60, 60, 2000))
+    xyz = np.stack([mount.x + r * np.cos(az), mount.y + r * np.sin(az), mount.z + r * rng.uniform(-0.03, 0.03, 2000)], -1)
+    points = cloud(spark, [(*map(float, p), 0.5) for p in np.round(xyz, 6)])
+    every, few = first_hit.ray_candidates(points, model), first_hit.first_candidates(points, model)
+    ray = Window.partitionBy("sensor", "ray_id").orderBy("step", "offset", "t", "point_ord")
+    top = lambda df: {tuple(x) for x in df.withColumn("n", F.row_number().over(ray)).filter("n = 1").select("sensor", "ray_id", "step", "point_ord").collect()}
+    assert top(every) == top(few) and few.count() < every.count() / 2
+
+
 def winner(spark, rows):
     return first_hit.first_hits(cloud(spark, rows), ONE_RAY).select("step", "point_ord").collect()
 
@@ -133,4 +149,5 @@ def test_one_crowded_voxel_stays_whole(spark):
 def test_plan_has_no_voxel_shuffle_of_points(spark):
     plan = first_hit.sparse_scan(cloud(spark, [(2.05, 0.06, 0.05, 0.7)]), MODELS["scala"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert plan.count("BroadcastHashJoin") == 1 and plan.count("WindowGroupLimit") == 2
+    # Points and near voxels look up the rays; only points next to a mount meet the first voxels of rays.
+    assert plan.count("BroadcastExchange") >= 1 and plan.count("WindowGroupLimit") == 2

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanmill.config import SENSOR_NAMES
+from scanmill.config import MODELS, SENSOR_NAMES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,17 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(*frame_keys(), ordinal.alias("point_ord"), "x", "y", "z", "intensity", "frame_no")
 
 
+def near_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense cloud with every point on a ring of 0.15 to five metres around a mount, mounts in turn."""
+    mounts = MODELS["scala"].mounts
+    pick = lambda field: F.element_at(F.array(*[F.lit(float(getattr(m, field))) for m in mounts]), (F.col("point_ord") % len(mounts)).cast("int") + 1)
+    r = 0.15 + 0.01 * (F.col("point_ord") * 37 % 486)
+    az = F.radians(pick("yaw_deg") - 70 + 0.25 * (F.col("point_ord") * 11 % 561))
+    height = 0.01 * (F.col("point_ord") % 7 - 3)
+    placed = {"x": pick("x") + r * F.cos(az), "y": pick("y") + r * F.sin(az), "z": pick("z") + r * height}
+    return points(spark, sf_dir).withColumns({a: F.round(v, 6) for a, v in placed.items()})
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten boxes per frame, all type codes, bearings all round."""
     p, size = F.col("p_partkey"), F.col("p_size")

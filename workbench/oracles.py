@@ -129,6 +129,17 @@ def _walk(axis: str) -> str:
     return f"v0{axis} + cast(sign(d{axis}) as int) * ((2 * abs(d{axis}) * step + len) // (2 * len))"
 
 
+def near_points(model: SensorModel) -> str:
+    def pick(field: str) -> str:
+        values = ", ".join(f"{float(getattr(m, field))!r}::double" for m in model.mounts)
+        return f"[{values}][point_ord % {len(model.mounts)} + 1]"
+
+    return f"""far0 as (select * from points0), near0 as (
+  select * replace (round({pick('x')} + r * cos(az), 6) as x, round({pick('y')} + r * sin(az), 6) as y, round({pick('z')} + r * 0.01::double * (point_ord % 7 - 3), 6) as z)
+  from (select *, 0.15::double + 0.01::double * (point_ord * 37 % 486) r, radians({pick('yaw_deg')} - 70 + 0.25::double * (point_ord * 11 % 561)) az from far0)
+)"""
+
+
 def hits(model: SensorModel, precision: str = "double") -> str:
     cell = {
         "double": lambda v: f"cast(floor({v} / 0.1::double) as int)",
@@ -319,6 +330,11 @@ for _name, _model in (("first_hits", "scala"), ("first_hits_banded", "scala2")):
     oracle(_name, f"""with {hits(MODELS[_model])}
 select sequence, sensor, {big('frame_index', 'ray_id', 'step', 'point_ord')} from hits""")
 
+for _name, _model in (("first_hits_near", "scala"), ("first_hits_near_banded", "scala2")):
+    _near = hits(MODELS[_model]).replace(POINTS, f"{POINTS}, {near_points(MODELS['scala'])}", 1).replace("from points0) p on", "from near0) p on")
+    oracle(_name, f"""with {_near}
+select sequence, sensor, {big('frame_index', 'ray_id', 'step', 'point_ord')} from hits""")
+
 for _name, _precision in (("sparse_scan", "double"), ("sparse_scan_single", "float")):
     oracle(_name, f"""with {scan(MODELS['scala'], _precision)}
 select sequence, sensor, {big('frame_index', 'ray_id')}, {reals('x', 'y', 'z', 'intensity')} from scan""")

@@ -61,8 +61,8 @@ def relative_motion(source: Motion, target: Motion, convention: str = "vehicle_t
     raise ValueError(f"unknown pose convention {convention!r}; expected one of {POSE_CONVENTIONS}")
 
 
-def rigid_pose(pose: Column, tolerance: float = 1e-3) -> Column:
-    """The pose itself, or an error when its rotation part has a determinant other than one."""
+def rigid_pose(pose: Column, tolerance: float = 1e-3, frame: Column | None = None) -> Column:
+    """The pose itself, or an error that names the ``frame`` when its rotation part has a determinant other than one."""
     m = motion_of(pose)
     det = (
         m["r00"] * (m["r11"] * m["r22"] - m["r12"] * m["r21"])
@@ -70,7 +70,7 @@ def rigid_pose(pose: Column, tolerance: float = 1e-3) -> Column:
         + m["r02"] * (m["r10"] * m["r21"] - m["r11"] * m["r20"])
     )
     return F.when(F.abs(det - 1.0) <= tolerance, pose).otherwise(
-        F.raise_error(F.lit("frame pose is not a rigid motion")).cast("array<double>")
+        F.raise_error(F.concat(F.lit("pose is not a rigid motion: frame "), F.lit("?") if frame is None else frame)).cast("array<double>")
     )
 
 

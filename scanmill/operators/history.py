@@ -72,7 +72,7 @@ def history_with_motion(pairs: DataFrame, frames: DataFrame, convention: str = "
     For k = 0 the motion is exactly the identity. Poses are taken apart into columns before
     the joins, so that the rows that meet are flat.
     """
-    pose = motion_of(rigid_pose(F.col("pose")))
+    pose = motion_of(rigid_pose(F.col("pose"), frame=F.concat_ws("/", "sequence", "frame_index")))
     heads = frames.select("sequence", "frame_index", "timestamp_micros", *[v.alias(n) for n, v in pose.items()])
     source = heads.select(
         "sequence", F.col("frame_index").alias("source_frame"), F.col("timestamp_micros").alias("source_micros"),

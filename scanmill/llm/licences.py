@@ -21,6 +21,8 @@ NEGATIVES = 4_000
 """Paragraphs of the corpus that teach the class `none`: those with the least hashes of all, whatever their number."""
 VOCABULARY = 8_192
 """Most n-grams of the model; with the families it bounds what is broadcast."""
+LEAST_WEIGHT = 0.3
+"""N-grams that weigh less for every family are left out of the model before its temperature is set."""
 CONTEXTS = 6
 """How often each template is shown, each time inside other words."""
 
@@ -59,6 +61,7 @@ TEMPLATES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("cc0", "Released under CC0 1.0 Universal."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("reserved", "All rights reserved."),
     ("reserved", "All rights reserved. No part of this work may be reproduced without permission."),
     ("reserved", "Copyright, all rights reserved, unauthorized copying of this file is strictly prohibited."),
 )
@@ -66,7 +69,7 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Model:
-    """Sparse weights: one row (gram, weights by family) per n-gram that counts, intercepts and the temperature."""
+    """Sparse weights: one row (hash of the n-gram, weights by family) per n-gram that counts, intercepts and the temperature."""
 
     families: tuple[str, ...]
     intercepts: tuple[float, ...]
@@ -82,14 +85,16 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters, digits and inner dots and hyphens."""
-    runs = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.-]+", " "), " ", -1)
-    return F.filter(F.transform(runs, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
+    kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.-]+|(?<![\p{L}\p{N}])[.-]+|[.-]+(?![\p{L}\p{N}])", " ")
+    return F.filter(F.split(kept, " ", -1), lambda w: w != "")
 
 
 def grams(found: Column) -> Column:
-    """The different single words and pairs of words."""
-    pairs = F.zip_with(found, F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(found, F.filter(pairs, lambda p: p.isNotNull())))
+    """Hashes of the single words and of the pairs of words."""
+    singles = F.transform(found, lambda w: F.xxhash64(w))
+    pairs = F.zip_with(singles, F.slice(singles, 2, F.greatest(F.size(singles), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    # The last pair has one word only.
+    return F.concat(singles, F.slice(pairs, 1, F.greatest(F.size(singles) - 1, F.lit(0))))
 
 
 def shingles(found: Column) -> Column:
@@ -136,7 +141,7 @@ def train(docs: DataFrame) -> Model:
     """Multinomial logistic regression with sparse weights on words and word pairs. Classes weigh alike; a held-out part
     sets the temperature that makes its probabilities fit best."""
     spark = docs.sparkSession
-    examples = written(_examples(docs).withColumn("grams", grams(F.col("words"))).drop("words"))
+    examples = written(_examples(docs).withColumn("grams", F.array_distinct(grams(F.col("words"))).cast("array<string>")).drop("words"))
     families = (NONE, *sorted({family for family, _ in TEMPLATES}))
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     sizes = examples.groupBy("family").agg((1 / F.count("*")).alias("weight"))
@@ -144,17 +149,17 @@ def train(docs: DataFrame) -> Model:
     counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2, binary=True).fit(rows)
     ready = written(counted.transform(rows).select("features", "label", "weight", "held", "grams").repartition(2))
     fitted = LogisticRegression(
-        family="multinomial", maxIter=30, regParam=0.0005, elasticNetParam=0.5, weightCol="weight", standardization=False
+        family="multinomial", maxIter=30, regParam=0.0005, elasticNetParam=0.9, weightCol="weight", standardization=False
     ).fit(ready.filter("not held"))
     present = len(fitted.interceptVector)
     matrix = fitted.coefficientMatrix.toArray()
-    used = matrix.any(axis=0).nonzero()[0]
+    used = (abs(matrix).max(axis=0) >= LEAST_WEIGHT).nonzero()[0]
     vocabulary = counted.vocabulary
-    rows = json.dumps([{"gram": vocabulary[g], "w": matrix[:, g].tolist()} for g in used])
-    parsed = F.from_json(F.lit(rows), "array<struct<gram: string, w: array<double>>>")
+    rows = json.dumps([{"gram": int(vocabulary[g]), "w": matrix[:, g].tolist()} for g in used])
+    parsed = F.from_json(F.lit(rows), "array<struct<gram: long, w: array<double>>>")
     weights = written(spark.range(1).select(F.explode(parsed).alias("r")).select("r.gram", "r.w"))
     model = Model(families[:present], tuple(fitted.interceptVector.toArray().tolist()), 1.0, weights)
-    held = written(_scores(ready.filter("held").select(F.monotonically_increasing_id().alias("row"), "label", "grams"), model, ["row", "label"]))
+    held = written(_scores(ready.filter("held").select(F.monotonically_increasing_id().alias("row"), "label", F.col("grams").cast("array<long>").alias("grams")), model, ["row", "label"]))
     grid = [0.5, 0.7, 1.0, 1.4, 2.0, 3.0]
     losses = held.agg(*(
         F.sum(-F.log(F.greatest(F.get(_softmax(F.col("scores"), t), F.col("label").cast("int")), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(grid)
@@ -164,10 +169,11 @@ def train(docs: DataFrame) -> Model:
 
 
 def _scores(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """keys and scores by family of the rows (keys, grams) that have an n-gram of the model. The model's n-grams are at
-    most VOCABULARY, so they go to every executor; n-grams it lacks drop out there, before anything is shuffled."""
+    """keys and scores by family of the rows (keys, grams) that have an n-gram of the model; each n-gram counts once.
+    The model's n-grams are at most VOCABULARY, so they go to every executor; n-grams it lacks drop out there, before
+    anything is shuffled. (The outer form keeps Spark from working out all n-grams a second time to see if there are any.)"""
     zero = F.array(*(F.lit(b) for b in model.intercepts))
-    found = rows.select(*keys, F.explode("grams").alias("gram")).join(F.broadcast(model.weights), "gram")
+    found = rows.select(*keys, F.explode_outer(F.array_distinct("grams")).alias("gram")).join(F.broadcast(model.weights), "gram")
     sums = found.groupBy(*keys).agg(*(F.sum(F.get("w", F.lit(k))).alias(f"s{k}") for k in range(len(model.families))))
     return sums.select(*keys, F.zip_with(zero, F.array(*(F.col(f"s{k}") for k in range(len(model.families)))), lambda a, b: a + b).alias("scores"))
 
@@ -187,8 +193,8 @@ def scan(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     SIMILARITY of the template's five-word shingles. Licence-like paragraphs without both are `unknown`. Null and blank
     texts have no paragraphs. Repeated rows of one doc_id are told apart by their texts; equal ones give one row."""
     spark = docs.sparkSession
-    lines = paragraphs(docs)
-    scored = _scores(lines.withColumn("grams", grams(words(F.col("text")))), model, ["doc_id", "paragraph", "text"])
+    lines = paragraphs(docs).withColumn("words", words(F.col("text")))
+    scored = _scores(lines.withColumn("grams", grams(F.col("words"))), model, ["doc_id", "paragraph", "text"])
     families = F.array(*map(F.lit, model.families))
     chances = scored.withColumn("chances", _softmax(F.col("scores"), model.temperature)).withColumn("probability", F.array_max("chances"))
     judged = chances.select(

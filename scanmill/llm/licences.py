@@ -122,7 +122,10 @@ def _examples(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     template = written(_templates(spark).select("at", "family", words(F.col("text")).alias("template")))
     known = [r.s for r in template.select(shingles(F.col("template")).alias("s")).collect()]
-    texts = paragraphs(docs).select("text", F.xxhash64("text").alias("order")).orderBy("order", "text").limit(NEGATIVES)
+    lines = paragraphs(docs).select("text", F.xxhash64("text").alias("order"))
+    # Of all hashes only so many are looked at that twice the rows wanted remain, or all where there are few.
+    part = 2.0 * NEGATIVES / max(1, lines.count())
+    texts = lines.filter(F.col("order") < -(2.0**63) + part * 2.0**64).orderBy("order", "text").limit(NEGATIVES)
     sample = written(texts.withColumn("nth", F.row_number().over(Window.orderBy("order", "text"))).select("nth", words(F.col("text")).alias("words")))
     near = reduce(or_, (_likeness(F.col("s"), F.array(*map(F.lit, s))) >= 0.5 for s in known))
     plain = written(sample.withColumn("s", shingles(F.col("words"))).filter(~near).drop("s"))
@@ -195,12 +198,10 @@ def scan(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     spark = docs.sparkSession
     lines = paragraphs(docs).withColumn("words", words(F.col("text")))
     scored = _scores(lines.withColumn("grams", grams(F.col("words"))), model, ["doc_id", "paragraph", "text"])
-    families = F.array(*map(F.lit, model.families))
-    chances = scored.withColumn("chances", _softmax(F.col("scores"), model.temperature)).withColumn("probability", F.array_max("chances"))
-    judged = chances.select(
-        "doc_id", "paragraph", "text", "probability",
-        F.element_at(families, F.array_position("chances", F.col("probability")).cast("int")).alias("predicted"),
-    ).filter(F.col("predicted") != NONE)
+    families, top = F.array(*map(F.lit, model.families)), F.array_max("scores")
+    likely = scored.withColumn("predicted", F.element_at(families, F.array_position("scores", top).cast("int"))).filter(F.col("predicted") != NONE)
+    others = F.aggregate("scores", F.lit(0.0), lambda total, s: total + F.exp((s - top) / model.temperature))
+    judged = likely.select("doc_id", "paragraph", "text", "predicted", (1 / others).alias("probability"))
     known = _templates(spark).groupBy("family").agg(F.collect_list(shingles(words(F.col("text")))).alias("known"))
     compared = judged.join(F.broadcast(known), judged.predicted == known.family, "left").drop("family").withColumn("s", shingles(words(F.col("text"))))
     likeness = F.coalesce(F.array_max(F.transform("known", lambda t: _likeness(F.col("s"), t))), F.lit(0.0))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scanmill.llm import simhash, suffix_dedup
+from scanmill.llm import near_copies, simhash, suffix_dedup
 from scanmill.llm.components import components
 
 DOCS = "doc_id long, text string, key string, context long, fp long"
@@ -144,3 +144,48 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, j) for j in range(200, 260)] + [(3, 3), (5, 4), (4, 5), (None, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{j: 7 for j in range(200, 260)}, 7: 7, 4: 4, 5: 4}
+
+
+# ---------------------------------------------------------------- near copies
+
+
+def brute_alike(texts):
+    sets = []
+    for t in texts:
+        ws = (t or "").encode().lower().split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))})
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        parent[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))], links
+
+
+def near_texts(rng):
+    texts = [None, "", " \t", "one", "ONE", "One two", "one two three four five six"]
+    for size, copies in ((40, 12), (90, 20), (300, 30)):
+        base = words(rng, size).split()
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.randrange(1 + size // 30)):
+                own[rng.randrange(size)] = "changed%d" % rng.randrange(99)
+            texts.append(" ".join(own))
+    common = words(rng, 9)
+    return texts + [common + " " + words(rng, rng.randrange(1, 80)) for _ in range(60)]
+
+
+def test_near_copies_that_are_not_equal_equal_brute_force(spark):
+    texts = near_texts(random.Random(11))
+    roots, links = brute_alike(texts)
+    far = [(i, j) for i, j in links if (int(plain_print(texts[i])) ^ int(plain_print(texts[j]))).bit_count() > 3]
+    assert len(far) > 50
+    rows = list(enumerate(texts))
+    got = near_copies.one_of_each_alike(frame(spark, rows).repartition(3))
+    assert got.columns == ["doc_id", "text", "key", "context", "fp"]
+    assert sorted(r.doc_id for r in got.collect()) == sorted({roots.index(r) for r in roots})

@@ -19,7 +19,7 @@ from scanmill.llm.common import like
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
+RADIUS = 23
 ITEMS_AT_ONCE = 20_000
 """Benchmark items whose index goes to the executors at once; a larger benchmark takes several passes."""
 _BLOCKS = 8
@@ -95,19 +95,22 @@ class Index:
             shingles, weights = _shingles(np.array([self.codes[w] for w in words], np.uint64)), _weights(words)
             hashes.append(shingles)
             by_length[len(words)].append((item_id, _bag(shingles, weights), _window_prints(_bit_sums(shingles, weights), np.zeros(1, int), len(shingles))[0]))
+        self.first: dict[str, set[int]] = defaultdict(set)
+        for run in self.short:
+            self.first[run[0]].add(len(run))
         self.known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.lengths = {}
         spread = np.arange(256)
         for length, found in by_length.items():
             prints = np.array([f[2] for f in found])
-            # near[block][value]: items whose block differs from the value in at most one bit.
+            # near[block][value]: items whose block differs from the value in at most RADIUS // _BLOCKS bits.
             near = np.array([np.bitwise_count(spread[:, None] ^ prints[None, :, b]) <= RADIUS // _BLOCKS for b in range(_BLOCKS)])
             self.lengths[length] = (found, prints, near)
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of the most similar window of each item that reaches the threshold."""
         words = words_of(text)
-        best = {item: (1.0, 0, len(words)) for item in self.short.get(tuple(words), ())}
+        best = self._short(words)
         if len(words) >= SHINGLE and len(self.known):
             known = np.fromiter(map(self.codes.get, words, repeat(0)), np.uint64, len(words))
             runs = np.convolve(known != 0, np.ones(SHINGLE, int), "valid") == SHINGLE
@@ -119,8 +122,18 @@ class Index:
                     self._windows(words, hits, threshold, best)
         return [(item, *found) for item, found in sorted(best.items())]
 
+    def _short(self, words: list[str]) -> dict[int, tuple[float, int, int]]:
+        """The first place of each item of fewer than SHINGLE words: a run of exactly its words."""
+        best = {}
+        for at, word in enumerate(words):
+            for size in self.first.get(word, ()):
+                for item in self.short.get(tuple(words[at : at + size]), ()):
+                    best.setdefault(item, (1.0, at, size))
+        return best
+
     def _windows(self, words: list[str], hits: np.ndarray, threshold: float, best: dict) -> None:
-        """Windows without a benchmark shingle have similarity zero, so only those around hits are looked at."""
+        """Windows without a benchmark shingle have similarity zero, so only those around hits are looked at. A part
+        shorter than an item is the whole document, and one window."""
         reach = max(self.lengths)
         gaps = np.flatnonzero(np.diff(hits) > 2 * reach) + 1
         for group in np.split(hits, gaps):
@@ -133,9 +146,7 @@ class Index:
             seen = np.cumsum(seen)
             sums = _bit_sums(shingles, weights)
             for length, (items, prints, near) in self.lengths.items():
-                size = length - SHINGLE + 1
-                if size > len(shingles):
-                    continue
+                size = min(length - SHINGLE + 1, len(shingles))
                 at = np.flatnonzero(seen[size:] - seen[:-size])
                 if not len(at):
                     continue
@@ -146,7 +157,7 @@ class Index:
                 for w, i in zip(at_window[within], at_item[within], strict=True):
                     a = int(at[w])
                     value = similarity(items[i][1], _bag(shingles[a : a + size], weights[a : a + size]))
-                    found = (value, int(begin) + a, length)
+                    found = (value, int(begin) + a, size + SHINGLE - 1)
                     if value >= threshold and (items[i][0] not in best or value > best[items[i][0]][0]):
                         best[items[i][0]] = found
 
@@ -172,11 +183,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
     """(doc_id, item_id, similarity, first_word, n_words): each item that a document holds, by its best window.
 
     Words are runs of letters and digits, lower-cased, so that punctuation and case hide nothing. A document holds an
-    item if a window of as many words as the item has reaches `threshold` in weighted Jaccard similarity of five-word
-    shingles. Windows are compared by SimHash: 64 bits in eight blocks, looked up with up to one bit changed, find every
-    fingerprint within RADIUS (beyond it all eight blocks would differ twice); the similarity of what is found is exact.
+    item if a window of as many words as the item has, or the whole document where it is shorter, reaches `threshold` in weighted Jaccard similarity of five-word
+    shingles. Windows are compared by SimHash: 64 bits in eight blocks, looked up with up to two bits changed, find every
+    fingerprint within RADIUS (beyond it all eight blocks would differ three times); the similarity of what is found is exact.
     Windows that share no shingle with any item have similarity zero and are passed over.
-    Items of fewer than five words match documents of exactly these words; empty items and null texts match nothing; ties
+    Items of fewer than five words match exact runs of their words anywhere; empty items and null texts match nothing; ties
     keep the first window. Repeated documents and items are each reported. The index of about ITEMS_AT_ONCE items is
     broadcast at a time; larger benchmarks take a pass over the documents for each part."""
     rows = like(docs, ["doc_id", "text"])

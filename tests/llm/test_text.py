@@ -127,6 +127,34 @@ def test_contaminated_equals_brute_force(spark, monkeypatch):
     assert decontamination.contaminated(table, bench.limit(0)).count() == 0 and decontamination.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_cut_items_and_short_items_are_found(spark):
+    rng = random.Random(9)
+    item = prose(rng, "en", 40).split()
+    items = [(1, " ".join(item)), (2, "zq vw xk")]
+    rows = [(1, " ".join(item[:-2]), None), (2, " ".join(item[3:]), None), (3, " ".join(item[:20]), None), (4, "before, Zq VW xk! after", None), (5, "zq vw and xk", None), (6, "vw xk", None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words) for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): (0, 38), (2, 1): (0, 37), (4, 2): (1, 3)}
+    assert {r.doc_id for r in decontamination.uncontaminated(docs(spark, rows), bench).collect()} == {3, 5, 6}
+
+
+def test_windows_at_the_least_similarity_are_all_found():
+    rng = random.Random(10)
+    near = 0
+    for _ in range(4000):
+        ws = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(20, 60))]
+        cut = ["other", *ws[1:]]
+        for at in rng.sample(range(1, len(ws)), rng.randrange(2)):
+            cut[at] = "changed"
+        a, b = weighted(ws), weighted(cut)
+        shared = sum(min(v, b.get(k, 0)) for k, v in a.items())
+        value = shared / (sum(a.values()) + sum(b.values()) - shared)
+        if 0.8 <= value < 0.85:
+            near += 1
+            assert decontamination.Index([(1, " ".join(ws))]).matches(" ".join(cut), 0.8)
+    assert near > 100
+
+
 # ---------------------------------------------------------------- pseudonyms
 
 KEY = b"a key of sixteen bytes or more"

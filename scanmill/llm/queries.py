@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scanmill.llm import chat, licences
+from scanmill.llm.alignment import aligned
 from scanmill.llm.common import ship, table
 from scanmill.llm.decontamination import contaminated
+from scanmill.llm.divergence import divergence
 from scanmill.llm.html_templates import main_texts
 from scanmill.llm.language_mixture import identify, train
 from scanmill.llm.packing import best_fit_packing
@@ -17,6 +19,7 @@ from scanmill.llm.pseudonyms import pseudonyms
 from scanmill.llm.quality import MEASURES, judged
 from scanmill.llm.simhash import near_duplicates
 from scanmill.llm.suffix_dedup import without_repeats
+from scanmill.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +94,19 @@ def op9_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return aligned(table(spark, sf_dir, "documents"), *paths)
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -42,10 +42,34 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are removed when its block ends: `keep(frame)` writes one and reads it back. Results that outlive the block
+    must be written by `written` inside it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-tables/scratch-{uuid.uuid4().hex}"
+
+    def __call__(self, frame: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _delete(self.spark, self.folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Removes all tables that `written` made in this application; results that read them must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-tables")
 
 
 def ship(spark: SparkSession) -> None:

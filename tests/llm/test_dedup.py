@@ -180,7 +180,11 @@ def near_texts(rng):
     return texts + [common + " " + words(rng, rng.randrange(1, 80)) for _ in range(60)]
 
 
-def test_near_copies_that_are_not_equal_equal_brute_force(spark):
+@pytest.mark.parametrize("salted", [False, True])
+def test_near_copies_that_are_not_equal_equal_brute_force(spark, monkeypatch, salted):
+    if salted:  # frequent shingles are dealt into groups with leads of their own
+        monkeypatch.setattr(near_copies, "FREQUENT", 2)
+        monkeypatch.setattr(near_copies, "SALT_ROWS", 4)
     texts = near_texts(random.Random(11))
     roots, links = brute_alike(texts)
     far = [(i, j) for i, j in links if (int(plain_print(texts[i])) ^ int(plain_print(texts[j]))).bit_count() > 3]
@@ -189,3 +193,13 @@ def test_near_copies_that_are_not_equal_equal_brute_force(spark):
     got = near_copies.one_of_each_alike(frame(spark, rows).repartition(3))
     assert got.columns == ["doc_id", "text", "key", "context", "fp"]
     assert sorted(r.doc_id for r in got.collect()) == sorted({roots.index(r) for r in roots})
+
+
+def test_cells_never_refuse_a_near_copy():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 400, 60_000):
+        for _ in range(20):
+            both = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            a, b = both[: n - rng.integers(0, n // 9 + 1)], both[rng.integers(0, n // 9 + 1) :]
+            cells = [np.frombuffer(near_copies.cells_of(np.unique(x)), np.uint8).astype(int) for x in (a, b)]
+            assert not near_copies.alike(np.unique(a), np.unique(b)) or 9 * np.abs(cells[0] - cells[1]).sum() <= len(a) + len(b)

@@ -64,3 +64,8 @@ def requested_sensors(requested: list[str] | None) -> list[str]:
     if unknown:
         raise ValueError(f"unknown sensors {unknown}; known sensors: {sorted(SENSOR_NAMES)}")
     return list(requested)
+
+
+def left_over(sample: DataFrame, available: DataFrame) -> DataFrame:
+    """Sequences of each split that the sample does not hold."""
+    return available.join(sample, ["split", "sequence"], "left_anti")

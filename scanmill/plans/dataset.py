@@ -17,9 +17,9 @@ from scanmill.operators.rasters import raster
 from scanmill.operators.samples import obb_samples
 from scanmill.operators.sensor_frame import points_single
 from scanmill.operators.tracks import track_boxes, track_records
-from scanmill.sources import writers
+from scanmill.sources import runs
 from scanmill.sources.checkpoints import Scratch, written
-from scanmill.sources.readers import read_label_lines, read_raster_stems, split_folder
+from scanmill.sources.readers import raster_stems, split_folder
 
 # Output names; the two repeated label outputs are made on request only.
 OUTPUTS = (
@@ -95,8 +95,12 @@ def write_dataset(
 
     The frames of the listed sequences are written first and read back, so that Spark knows their true size: points
     meet them broadcast while they are small, and by frame, never by sequence, beyond that. The scan and the
-    label rows are written next; later outputs read them. Intermediate tables are removed at the end. Returns output
-    name -> folder.
+    label rows are written next; later outputs read them. Intermediate tables are removed at the end.
+
+    Calls into one root add up: each writes its rows beside those of others and, when all outputs are there, records the
+    sequences it finished. ``read_output`` takes every sequence from its latest call, so a second split leaves the
+    first alone, one sequence can be redone on its own, and a call that fails has changed nothing. Calls of which nothing
+    counts any more are deleted. Returns output name -> folder.
     """
     root = path.rstrip("/")
     model = model.select(selected_sensors)
@@ -105,34 +109,36 @@ def write_dataset(
     threshold = options.pop("threshold", MIN_POINTS)
     if options:
         raise TypeError(f"unknown options {sorted(options)}")
-    with Scratch(points.sparkSession) as scratch:
+    spark, run = points.sparkSession, runs.new_run()
+    with Scratch(spark) as scratch:
         keys = scratch.written(split_keys(frames, sequences))
         by_frame = ["sequence", "frame_index"]
         wanted = keys.select(*by_frame).distinct()
         frames, points, boxes = (df.join(wanted, by_frame, "left_semi") for df in (frames, points, boxes))
-        scan = written(sparse_scan(points, model, bev.voxel_size, precision), f"{root}/scan")
-        labels = written(label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev), f"{root}/label_rows")
+        scan = scratch.written(sparse_scan(points, model, bev.voxel_size, precision))
+        labels = scratch.written(label_rows(kept_boxes(scan, boxes, model, rotation, threshold), model, bev))
 
         tables = build_dataset(frames, points, boxes, model, outputs, None, bev, scan=scan, labels=labels, scratch=scratch)
         folders = {}
         for name, table in tables.items():
-            folders[name] = f"{root}/{name}"
             if name.startswith("gt_"):
                 named = keys.withColumnRenamed("sequence", "sequence_name")
-                records = table.join(named, ["sequence_name", "frame_index"]).withColumn("horizon", F.lit(name[3:]))
-                writers.write_track_json(records, folders[name])
+                table = table.join(named, ["sequence_name", "frame_index"]).withColumn("horizon", F.lit(name[3:]))
             else:
-                writers.write_table(table.join(keys, by_frame), folders[name])
+                table = table.join(keys, by_frame)
+            folders[name] = runs.write_run(table, root, name, run)
+        runs.finish(keys, root, tables, run)
+    runs.drop_superseded(spark, root)
     return folders
 
 
 def generated_labels(
     spark: SparkSession, root: str, method: str = "height", splits: Iterable[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Label lines and raster stems that ``write_dataset`` stored under ``root``: the input of ``to_obb_samples``."""
+    """Label lines and raster stems of the sequences that ``write_dataset`` finished under ``root``: the input of ``to_obb_samples``."""
     splits = None if splits is None else list(splits)
-    lines = read_label_lines(spark, f"{root.rstrip('/')}/labels", splits)
-    return lines, read_raster_stems(spark, f"{root.rstrip('/')}/images_{method}", splits)
+    lines = runs.read_output(spark, root, "labels", splits).filter(F.col("line").isNotNull())
+    return lines.select("split", "sensor", "stem", "line_no", "line"), raster_stems(runs.read_output(spark, root, f"images_{method}", splits))
 
 
 def to_obb_samples(

@@ -68,22 +68,25 @@ def read_label_text(spark: SparkSession, root: str, splits: list[str], folder: s
 
 
 def read_label_lines(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
-    """Label lines ``split, sensor, stem, line_no, line`` as ``write_label_lines`` or ``write_dataset`` stored them."""
+    """Label lines ``split, sensor, stem, line_no, line`` as ``write_label_lines`` stored them."""
     lines = spark.read.parquet(path).filter(F.col("line").isNotNull())
     if splits is not None:
         lines = lines.filter(F.col("split").isin(*splits))
     return lines.select("split", "sensor", "stem", "line_no", "line")
 
 
-def read_raster_stems(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
-    """``split, sensor, stem`` of the scans that have a pixel in a raster table of ``write_dataset``."""
-    pixels = spark.read.parquet(path)
-    if splits is not None:
-        pixels = pixels.filter(F.col("split").isin(*splits))
+def raster_stems(pixels: DataFrame) -> DataFrame:
+    """``split, sensor, stem`` of the scans that have a pixel."""
     keys = pixels.select("split", "sensor", "sequence", "frame_index").distinct()
     return keys.select("split", "sensor", frame_stem(F.col("sequence"), F.col("sensor"), F.col("frame_index")).alias("stem"))
 
 
+def read_raster_stems(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
+    """``split, sensor, stem`` of the scans that have a pixel in a raster table in folders per split and sensor."""
+    pixels = spark.read.parquet(path)
+    return raster_stems(pixels if splits is None else pixels.filter(F.col("split").isin(*splits)))
+
+
 def list_rasters(spark: SparkSession, root: str, splits: list[str], method: str) -> DataFrame:
     """``split, sensor, stem`` of the images of one raster kind. Only paths are read, never contents; splits without
     images are passed over."""

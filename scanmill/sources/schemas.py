@@ -55,6 +55,20 @@ SCAN = T.StructType([
     *_fields(T.FloatType(), "x", "y", "z", "intensity"),
 ])
 
+_BOX_RECORD = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("name", "track_id")],
+    *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("location", "dimensions")],
+    T.StructField("heading", T.DoubleType()),
+])
+
+TRACK_RECORD = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("horizon", "split", "sensor", "run", "sequence_name")],
+    *_fields(T.IntegerType(), "frame_index", "num_frames"),
+    T.StructField("frames", T.ArrayType(T.StructType([
+        T.StructField("frame_id", T.IntegerType()), T.StructField("annos", T.ArrayType(_BOX_RECORD)),
+    ]))),
+])
+
 TABLES = {
     "frames": FRAMES,
     "calibrations": CALIBRATIONS,

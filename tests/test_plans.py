@@ -11,7 +11,7 @@ import scanmill
 from scanmill.config import MODELS
 from scanmill.operators import history, samples, splits
 from scanmill.plans.dataset import DEFAULT_OUTPUTS, OUTPUTS, generated_labels, split_keys
-from scanmill.sources import checkpoints, readers, schemas, writers
+from scanmill.sources import checkpoints, readers, runs, schemas, writers
 from workbench import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +58,69 @@ def test_whole_dataset_is_written(spark, inputs, tmp_path):
     assert sorted(paths)[0] == "/out/images/training/0000000.png" and len(paths) == done.select("sample_index").distinct().count()
 
 
+@pytest.fixture(scope="module")
+def grown(spark, inputs, tmp_path_factory):
+    """Training, then validation, then one training sequence again with other points and boxes."""
+    root = str(tmp_path_factory.mktemp("grown"))
+    outputs = ["points_1f", "labels", "gt_2f", "images_height"]
+    write = lambda points, *rows: scanmill.write_dataset(
+        inputs[0], points, inputs[2], MODELS["scala"], spark.createDataFrame(list(rows), "split string, sequence string"), root, outputs, ["front_center"]
+    )
+    states = []
+    for points, rows in (
+        (inputs[1], [("train", "segment-0000")]), (inputs[1], [("val", "segment-0001")]),
+        (inputs[1].filter("frame_index < 4").withColumn("intensity", F.lit(7.0).cast("float")), [("train", "segment-0000")]),
+    ):
+        write(points, *rows)
+        states.append({o: sorted(map(str, runs.read_output(spark, root, o).collect())) for o in outputs})
+    return root, outputs, states
+
+
+def test_a_second_split_leaves_the_first_alone(spark, grown):
+    _, outputs, (first, second, _) = grown
+    for o in outputs:
+        assert first[o] and set(first[o]) < set(second[o]) and all("validation" in r for r in set(second[o]) - set(first[o]))
+
+
+def test_a_sequence_done_again_replaces_only_its_rows(spark, grown):
+    root, outputs, (first, second, third) = grown
+    points = runs.read_output(spark, root, "points_1f")
+    assert {r[0] for r in points.filter("sequence = 'segment-0000'").select("intensity").distinct().collect()} == {7.0}
+    assert points.filter("sequence = 'segment-0000' and frame_index >= 4").count() == 0
+    for o in outputs:
+        assert {r for r in third[o] if "validation" in r} == {r for r in second[o] if "validation" in r}
+    held = spark.read.parquet(f"{root}/points_1f")
+    assert held.select("run").distinct().count() == 2, "the first call's rows are gone"
+    assert runs.read_output(spark, root, "points_1f", ["validation"]).select("split").distinct().count() == 1
+
+
+def test_a_call_that_does_not_finish_changes_nothing(spark, grown):
+    root, outputs, states = grown
+    broken = spark.read.parquet(f"{root}/points_1f").drop("run").withColumn("intensity", F.lit(-1.0).cast("float"))
+    runs.write_run(broken, root, "points_1f", runs.new_run())
+    assert sorted(map(str, runs.read_output(spark, root, "points_1f").collect())) == states[2]["points_1f"]
+    lines, stems = generated_labels(spark, root, splits=["validation"])
+    assert lines.count() and {r.split for r in stems.collect()} == {"validation"}
+
+
+def test_compacting_keeps_what_counts(spark, grown):
+    root, outputs, states = grown
+    run = runs.compact(spark, root, outputs)
+    for o in outputs:
+        assert sorted(map(str, runs.read_output(spark, root, o).collect())) == states[2][o]
+        assert {r.run for r in runs.finished(spark, root).filter(F.col("output") == o).collect()} == {run}
+    assert runs.drop_superseded(spark, root) == sorted(runs.drop_superseded(spark, root))
+
+
+def test_writers_keep_the_folders_of_other_splits(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    for split in ("training", "validation"):
+        rows = spark.createDataFrame([(split, "front_left", "a_000", 0, "x")], "split string, sensor string, stem string, line_no int, line string")
+        writers.write_label_lines(rows, path)
+        writers.write_label_text(rows, path + "-text")
+    assert readers.read_label_lines(spark, path).count() == 2 and spark.read.text(path + "-text").count() == 2
+
+
 def test_dense_points_meet_the_split_by_frame(spark, inputs):
     sampled = splits.sampled_split(fx.split_list(spark, SF), fx.frames(spark, SF), data_percent=60.0)
     keys = split_keys(inputs[0], sampled)

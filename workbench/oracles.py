@@ -512,9 +512,9 @@ STAMP = "(values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) d(ox, oy)"
 SHARE = "greatest(0.0::double, least(1.0::double, (z + 1.0::double) / 3.0::double))"
 
 
-def _paint(source: str) -> str:
+def _paint(source: str, middle: float = 0.0) -> str:
     return f"""stamped as (
-  select *, cast(trunc(round(x / 0.1::double, 6)) as int) + ox px, cast(trunc(round(512.0::double - y / 0.1::double, 6)) as int) + oy py,
+  select *, cast(trunc(round({middle!r}::double + x / 0.1::double, 6)) as int) + ox px, cast(trunc(round(512.0::double - y / 0.1::double, 6)) as int) + oy py,
     cast(trunc(round({SHARE} * 255.0::double, 6)) as int) high, cast(trunc(round((1.0::double - {SHARE}) * 255.0::double, 6)) as int) low
   from {source}, {STAMP}
 ), painted as (select * from stamped where px between 0 and 1023 and py between 0 and 1023)"""
@@ -526,6 +526,12 @@ oracle("raster_height", f"""with {SCAN}, {LOCAL}, wide as (
 select sequence, sensor, {big('frame_index', 'px', 'py')}, cast(arg_max(low, ray_id) as bigint) b, cast(0 as bigint) g, cast(arg_max(high, ray_id) as bigint) r
 from painted group by sequence, sensor, frame_index, px, py""")
 
+oracle("raster_height_centre", f"""with {SCAN}, {LOCAL}, wide as (
+  select sequence, frame_index, sensor, ray_id, cast(x as double) x, cast(y as double) y, cast(z as double) z from local_scan
+), {_paint('wide', 512.0)}
+select sequence, sensor, {big('frame_index', 'px', 'py')}, cast(arg_max(low, ray_id) as bigint) b, cast(0 as bigint) g, cast(arg_max(high, ray_id) as bigint) r
+from painted group by sequence, sensor, frame_index, px, py""")
+
 for _method, _value in (("overlap", "255"), ("overlap_height", "high")):
     oracle(f"raster_{_method}", f"""with {SCAN}, {LOCAL}, {MOVES}, swung as (
   select v.sequence, v.sensor, v.frame_index, v.source_frame, yaw, tx, ty, {wrap('src_yaw - cur_yaw')} turn,
@@ -591,6 +597,50 @@ from normalised n join numbered u on u.split = n.split and u.sensor = n.sensor a
 oracle("split_manifest", f"""with {LABEL_TEXT}, {NUMBERED}
 select split, '/data/obb/images/' || split || '/' || lpad(cast(sample_index as varchar), 7, '0') || '.png' as path from numbered""")
 
+oracle("samples_per_split", f"""with {LABEL_TEXT}, {NUMBERED}
+select split, count(*) as n_samples, cast(sum(n_boxes) as bigint) as n_boxes from numbered group by split""")
+
+# ---------------------------------------------------------------- parts of rigs and of splits, written datasets
+
+oracle("points_of_two_sensors", f"""with {SCAN}, {LOCAL}
+select sequence, sensor, {big('frame_index', 'ray_id')}, {reals('x', 'y', 'z', 'intensity')} from local_scan where sensor in ('front_right', 'rear_left')""")
+
+LISTED = """listed as (
+  select distinct case when seq % 5 < 4 then 'train' else 'val' end split, seq, sequence from frames0
+)"""
+
+oracle("split_left_over", f"""with {FRAMES}, {LISTED}, drawn as (
+  select *, row_number() over (partition by split order by md5('0:' || sequence)) rn, count(*) over (partition by split) n from (
+    select split, sequence from listed union all values ('train', 'segment-missing-1'), ('val', 'segment-missing-2')
+  )
+)
+select split, sequence from drawn where rn > floor(n * 60.0::double / 100.0::double) and sequence in (select sequence from frames0)""")
+
+oracle("dataset_two_calls", f"""with {SCAN}, {LOCAL}, {FRAMES}, {LISTED}
+select case split when 'train' then 'training' else 'validation' end as split, p.sequence, p.sensor, cast(p.frame_index as bigint) as frame_index,
+  cast(ray_id as bigint) as ray_id, {reals('x', 'y', 'z')}, {r6("intensity + case when seq % 10 = 1 then 1 else 0 end", 'intensity')}
+from local_scan p join listed l on l.sequence = p.sequence
+where p.sensor = 'front_center' and (p.sequence, p.frame_index) in (select (sequence, frame_index) from frames0)""")
+
+_LINE_FIELDS = ", ".join(f"round({c}, 6) + 0.0::double as {n}" for c, n in (("xs", "x"), ("ys", "y"), ("length", "length"), ("width", "width"), ("heading_s", "heading")))
+oracle("generated_obb_lines", f"""with {SCAN}, {LOCAL}, {LABELS}, {FRAMES}, {LISTED}, wide as (
+  select sequence, frame_index, sensor, ray_id, cast(x as double) x, cast(y as double) y, cast(z as double) z from local_scan
+), {_paint('wide')}, stored as (
+  select case split when 'train' then 'training' else 'validation' end as split, l.sensor,
+    l.sequence || '_' || l.sensor || '_' || lpad(cast(l.frame_index as varchar), 3, '0') as stem, box_ord as line_no,
+    case name when 'Vehicle' then 0 when 'Pedestrian' then 1 else 2 end as class_id, {_LINE_FIELDS}
+  from labels0 l join listed s on s.sequence = l.sequence
+  where (l.sequence, l.frame_index) in (select (sequence, frame_index) from frames0)
+    and (l.sequence, l.frame_index, l.sensor) in (select (sequence, frame_index, sensor) from painted)
+), corners as (select *, {_corners()} from stored), normalised as (
+  select split, sensor, stem, line_no, class_id, {", ".join(f"x{i} / 0.1::double / 1024 as x{i}, (512.0::double - y{i} / 0.1::double) / 1024 as y{i}" for i in range(1, 5))}
+  from corners
+), numbered as (
+  select split, sensor, stem, row_number() over (partition by split order by sensor, stem) - 1 as sample_index from (select distinct split, sensor, stem from stored)
+)
+select n.split, sample_index, cast(line_no as bigint) line_no, cast(class_id as bigint) class_id, {TEXT} as text
+from normalised n join numbered u on u.split = n.split and u.sensor = n.sensor and u.stem = n.stem""")
+
 # ---------------------------------------------------------------- planes
 
 oracle("plane_to_sensor", f"""with {mounts(MODELS['scala'])}, raw as (

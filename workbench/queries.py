@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from scanmill.functions.voxels import voxel_index, walk_length
 from scanmill.operators import box_filter, first_hit, fusion, history, labels, range_image, rasters, samples
 from scanmill.operators import sensor_frame, splits, tracks, voxel_groups
 from scanmill.operators.rays import ray_cells
-from scanmill.plans.dataset import split_keys
-from scanmill.sources.checkpoints import written
+from scanmill.plans.dataset import generated_labels, split_keys, to_obb_samples, write_dataset
+from scanmill.sources.checkpoints import shared_folder, written
+from scanmill.sources.runs import read_output
 from workbench import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -371,6 +373,57 @@ def split_manifest(spark, d):
     return samples.split_manifest(samples.sample_numbers(boxes, fx.rasters_present(spark, d)), "/data/obb")
 
 
+@query
+def samples_per_split(spark, d):
+    boxes = samples.parsed_labels(fx.label_text(spark, d))
+    return samples.samples_per_split(samples.sample_numbers(boxes, fx.rasters_present(spark, d)))
+
+
+@query
+def points_of_two_sensors(spark, d):
+    """A rig reduced to two of its mounts."""
+    two = SCALA.select(["front_right", "rear_left"])
+    return sensor_frame.points_single(_scan(spark, d, two), two)
+
+
+@query
+def raster_height_centre(spark, d):
+    """Rasters with the sensor in the middle of the plane."""
+    return rasters.raster(_scan(spark, d), fx.frames(spark, d), SCALA, "height", origin="center")
+
+
+@query
+def split_left_over(spark, d):
+    """Listed sequences that exist and are not in the sample: what remains for validation."""
+    listed, frames = fx.split_list(spark, d), fx.frames(spark, d)
+    return splits.left_over(splits.sampled_split(listed, frames, data_percent=60.0), splits.sampled_split(listed, frames))
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/dataset-{uuid.uuid4().hex}"
+
+
+@query
+def dataset_two_calls(spark, d):
+    """Training split, then validation split, then every tenth sequence once more with stronger points, into one root."""
+    root, sensors = _folder(spark), ["front_center"]
+    frames, points, boxes, listed = fx.frames(spark, d), fx.points(spark, d), fx.boxes(spark, d), fx.split_list(spark, d)
+    for split in ("train", "val"):
+        write_dataset(frames, points, boxes, SCALA, listed.filter(F.col("split") == split), root, ["points_1f"], sensors)
+    again = listed.filter(F.substring("sequence", -1, 1) == "1")
+    write_dataset(frames, points.withColumn("intensity", F.col("intensity") + 1), boxes, SCALA, again, root, ["points_1f"], sensors)
+    return read_output(spark, root, "points_1f")
+
+
+@query
+def generated_obb_lines(spark, d):
+    """Both jobs: recordings to labels and rasters on disk, those to numbered oriented boxes."""
+    root = _folder(spark)
+    write_dataset(fx.frames(spark, d), fx.points(spark, d), fx.boxes(spark, d), SCALA, fx.split_list(spark, d), root, ["labels", "images_height"])
+    done = to_obb_samples(*generated_labels(spark, root))
+    return done.select("split", "sample_index", "line_no", "class_id", "text")
+
+
 @query
 def plane_to_sensor(spark, d):
     return sensor_frame.planes_to_sensors(fx.planes(spark, d), SCALA)

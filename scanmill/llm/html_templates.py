@@ -9,23 +9,25 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.llm.common import like, written
 
-LEAST_PAGES = 3
-"""Hosts with fewer pages take the template of all hosts together."""
-BROADCAST_HOSTS = 20_000
-"""Templates of at most so many hosts go to every executor; of more they meet their pages in a shuffle."""
-EVERY_HOST = "*"
+REPEATED = 3
+"""A text that fewer different pages of a host share is no sign of a template."""
+TEMPLATE_BYTES = 8 << 20
+"""Templates of this size together go to every executor; beyond it they meet their pages in a shuffle."""
+SALTS = 16
 
 # HTML elements by role.
 RAW = frozenset("script style noscript template textarea iframe svg title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-BOILERPLATE = frozenset("head nav footer aside form button select dialog menu fieldset canvas audio video object figcaption".split())
+BOILERPLATE = frozenset("head nav footer aside form button select dialog menu fieldset canvas audio video object".split())
 ARTICLE = frozenset(["article", "main"])
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption address td th caption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
@@ -36,7 +38,11 @@ NAMES = frozenset(
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article main section div body html".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# A tag ends at its first > outside of quotes, or at the first > if quotes are left open; one that never ends is text up to the
+# next <. No part looks further than the next < or the next quote of its kind, so markup of any kind is read in one pass.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*+)([^<>]*+)>|<[!?][^<>]*+>", re.S
+)
 _NAMED = re.compile(r"\b(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
@@ -56,11 +62,23 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *sorted(words)]), hidden or named or tag in BOILERPLATE
 
 
+@dataclass
+class Node:
+    """An element in its page; `path` is a hash of its label under its parent's path."""
+
+    tag: str
+    path: int
+    parent: int
+    depth: int
+    boilerplate: bool = False
+    article: bool = False
+
+
 @dataclass
 class Block:
     """A run of text in one block element."""
 
-    path: str
+    node: int
     boilerplate: bool
     article: bool
     parts: list[str] = field(default_factory=list)
@@ -70,11 +88,16 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def blocks_of(page: str) -> tuple[list[Block], Counter]:
-    """The text blocks of a page in order, and how often an element opened on each path."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, boilerplate, article
+def _hashed(parent: int, label: str) -> int:
+    value = xxhash.xxh64_intdigest(label, parent & 0xFFFFFFFFFFFFFFFF)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
+    """The text blocks of a page in order, and its block elements, parents first. The first node is the page itself."""
+    nodes = [Node("", 0, -1, 0)]
+    stack, within = [0], Counter()
     found: list[Block] = []
-    opened: Counter = Counter()
     links, fresh, at = 0, True, 0
 
     def say(text: str) -> None:
@@ -82,13 +105,17 @@ def blocks_of(page: str) -> tuple[list[Block], Counter]:
         if not text:
             return
         if fresh or not found:
-            _, path, boilerplate, article = stack[-1]
-            found.append(Block(path, boilerplate, article))
+            node = nodes[stack[-1]]
+            found.append(Block(stack[-1], node.boilerplate, node.article))
             fresh = False
         text = html.unescape(text)
         found[-1].parts.append(text)
         found[-1].linked += links and len(text)
 
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            within[nodes[stack.pop()].tag] -= 1
+
     while at < len(page):
         token = _TOKEN.search(page, at)
         if token is None:
@@ -96,12 +123,13 @@ def blocks_of(page: str) -> tuple[list[Block], Counter]:
             break
         say(page[at : token.start()])
         at = token.end()
-        if token[2] is None:
+        slash, name, attributes = token.groups()[:3] if token[2] else token.groups()[3:]
+        if name is None:
             continue
-        tag, closing = token[2].lower(), bool(token[1])
+        tag, closing = name.lower(), bool(slash)
         if tag in RAW:
-            if not closing and not token[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if not closing and not attributes.rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\b[^<>]*+>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if tag in INLINE:
@@ -114,115 +142,141 @@ def blocks_of(page: str) -> tuple[list[Block], Counter]:
         if tag in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if within[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag))
             continue
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in SCOPES:
+            if nodes[stack[i]].tag in SCOPES:
                 break
-            if stack[i][0] in CLOSES.get(tag, {"p"}):
-                del stack[i:]
+            if nodes[stack[i]].tag in CLOSES.get(tag, {"p"}):
+                close(i)
                 break
-        label, named = _label(tag, token[3])
-        _, path, boilerplate, article = stack[-1]
-        boilerplate |= named or (tag == "header" and not article)
-        article = (article or tag in ARTICLE) and not boilerplate
-        path = f"{path}/{label}"
-        opened[path] += 1
-        stack.append((tag, path, boilerplate, article))
-    return found, opened
+        label, named = _label(tag, attributes)
+        above = nodes[stack[-1]]
+        boilerplate = above.boilerplate or named or (tag == "header" and not above.article)
+        article = (above.article or tag in ARTICLE) and not boilerplate
+        nodes.append(Node(tag, _hashed(above.path, label), stack[-1], above.depth + 1, boilerplate, article))
+        stack.append(len(nodes) - 1)
+        within[tag] += 1
+    return found, nodes
 
 
 def tokens_of(page: str | None) -> list[dict]:
-    """The page's tokens with their counts: element paths with the text right in them, and texts outside of articles."""
-    found, opened = blocks_of(page or "")
-    chars, linked, said = Counter(), Counter(), Counter()
+    """The page's tokens with their counts: element paths with the text right in them, and texts, each under its path."""
+    found, nodes = blocks_of(page or "")
+    opened, chars, linked = Counter(n.path for n in nodes[1:]), Counter(), Counter()
+    said: Counter = Counter()
     for block in found:
-        text = block.text()
+        text, path = block.text(), nodes[block.node].path
         if text and not block.boilerplate:
-            chars[block.path] += len(text)
-            linked[block.path] += block.linked
-            if not block.article:
-                said["#" + text] += 1
-    paths = [{"token": p, "n": n, "chars": chars[p], "linked": linked[p]} for p, n in opened.items()]
-    return paths + [{"token": t, "n": n, "chars": 0, "linked": 0} for t, n in said.items()]
+            chars[path] += len(text)
+            linked[path] += block.linked
+            said[path, text] += 1
+    first = {n.path: n for n in reversed(nodes[1:])}
+    rows = [
+        {"token": p, "parent": nodes[n.parent].path, "depth": n.depth, "kind": 1 + 2 * n.article + 4 * (n.tag in TEXTUAL), "n": opened[p],
+         "chars": chars[p], "linked": linked[p]} for p, n in first.items()
+    ]
+    return rows + [
+        {"token": _hashed(p, text), "parent": p, "depth": 0, "kind": 0, "n": n, "chars": n * len(text), "linked": 0} for (p, text), n in said.items()
+    ]
 
 
-_TEMPLATE = "array<struct<class: long, token: string, pages: long, n: long, chars: long, linked: long>>"
+_TOKENS = "token: long, parent: long, depth: int, kind: int, n: long, chars: long, linked: long"
 
 
 class Template:
-    """Equivalence classes of a host, nested by their paths, and the slots that hold main text."""
+    """Equivalence classes of a host, nested by their paths, and the slot that holds the main text.
+
+    `rows` are the tokens that stand on most of the host's pages. `kind` is 0 for a text, else an element's: 2 if it lies in an
+    article, 4 if it is an element of running text."""
 
     def __init__(self, rows: list) -> None:
         classes = defaultdict(list)
         for r in rows:
-            if not r["token"].startswith("#"):
+            if r["kind"]:
                 classes[r["class"]].append(r)
-        self.constant = {r["token"][1:] for r in rows if r["token"].startswith("#")}
         # From outer to inner: a class belongs to the template if its paths stand in the slots of what is there already.
-        slots: set[str] = {""}
-        for members in sorted(classes.values(), key=lambda c: min(len(r["token"]) for r in c)):
+        slots = {0}
+        for members in sorted(classes.values(), key=lambda c: (min(r["depth"] for r in c), min(r["token"] for r in c))):
             paths = {r["token"] for r in members}
-            if all(p.rpartition("/")[0] in slots | paths for p in paths):
+            if all(r["parent"] in slots or r["parent"] in paths for r in members):
                 slots |= paths
         self.slots = slots
-        mass = Counter()
-        for r in rows:
-            if r["token"] in slots and 2 * r["linked"] <= r["chars"]:
-                mass[r["token"].rpartition("/")[0]] += r["chars"]
-        self.main = max(mass, key=lambda p: (mass[p], p), default="")
-
-    def slot(self, path: str) -> str:
-        while path not in self.slots:
-            path = path.rpartition("/")[0]
-        return path
+        elements = {r["token"]: r for r in rows if r["kind"] and r["token"] in slots}
+        mass: Counter = Counter()
+        for path, r in elements.items():
+            if r["chars"] and 2 * r["linked"] <= r["chars"]:
+                mass[r["parent"] if r["kind"] & 4 else path] += r["chars"]
+        main = max(mass, key=lambda p: (mass[p], p), default=0)
+        above = main
+        while above in elements:  # the article around it, if there is one, holds its headings and asides too
+            if elements[above]["kind"] & 2:
+                main = above
+            above = elements[above]["parent"]
+        self.main = main
+        # Texts that fill their slot on nearly every page are the template's, not the page's. Where texts that most pages share
+        # are much of the main slot, the pages are copies of each other, and nothing tells them from their template.
+        shared = [r for r in rows if not r["kind"] and r["parent"] in elements]
+        inside = {p for p in elements if self._under(p, elements)}
+        held = sum(r["chars"] for p, r in elements.items() if p in inside)
+        copies = 4 * sum(r["chars"] for r in shared if r["parent"] in inside) > held
+        self.constant = {
+            r["token"] for r in shared if 10 * r["n"] >= 9 * elements[r["parent"]]["n"] and not (copies and r["parent"] in inside)
+        }
+
+    def _under(self, path: int, elements: dict) -> bool:
+        while path != self.main and path in elements:
+            path = elements[path]["parent"]
+        return path == self.main
 
     def text(self, page: str | None) -> str:
-        """The page's main text: its article where it has one, else the slots beside the one with the most plain text."""
-        found = [b for b in blocks_of(page or "")[0] if not b.boilerplate]
-        if any(b.article and b.text() for b in found):
-            kept = [b.text() for b in found if b.article]
-        else:
-            inside = lambda p: p == self.main or p.startswith(self.main + "/")
-            free = [b for b in found if b.text() not in self.constant and 2 * b.linked <= len(b.text())]
-            kept = [b.text() for b in free if inside(self.slot(b.path))] or [b.text() for b in free]
-        return "\n".join(t for t in kept if t)
+        """The page's main text: the blocks in the main slot without what the template repeats there. A page that has no text in
+        that slot gives its article, and without one its unlinked blocks."""
+        blocks, nodes = blocks_of(page or "")
+        inside = [n.path == self.main for n in nodes]
+        for i, n in enumerate(nodes[1:], 1):
+            inside[i] |= inside[n.parent]
+        found = [(b, b.text()) for b in blocks if not b.boilerplate]
+        own = [(b, t) for b, t in found if t and _hashed(nodes[b.node].path, t) not in self.constant]
+        kept = [t for b, t in own if inside[b.node]] if self.main else []
+        kept = kept or [t for b, t in own if b.article] or [t for b, t in own if 2 * b.linked <= len(t)]
+        return "\n".join(kept)
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, n, chars, linked, print): the tokens of each page; print is a hash of page and count."""
-    @F.pandas_udf("array<struct<token: string, n: long, chars: long, linked: long>>")
+    """(host, token, parent, depth, kind, n, chars, linked, page, print): the tokens of each page; page is a hash of its html,
+    print one of page and count."""
+    @F.pandas_udf(f"array<struct<{_TOKENS}>>")
     def read(texts: pd.Series) -> pd.Series:
         return pd.Series([tokens_of(t) for t in texts])
 
-    mark = F.xxhash64("page_id", "url", "t.n")
-    return pages.select("page_id", "url", "host", F.explode(read("html")).alias("t")).select(
-        "host", "t.token", "t.n", "t.chars", "t.linked", mark.alias("print")
+    page = F.xxhash64("html")
+    return pages.select("host", page.alias("page"), F.explode(read("html")).alias("t")).select(
+        "host", "t.*", "page", F.xxhash64("page", "t.n").alias("print")
     )
 
 
 def _vectors(tokens: DataFrame) -> DataFrame:
-    """(host, token, pages, n, chars, linked, high, low): the occurrence vector of each token, as sums of hashes of
-    (page, count). Equal vectors have equal sums; sums of parts add up, so no vector is ever gathered."""
+    """(host, token, parent, depth, kind, pages, n, chars, linked, high, low): the occurrence vector of each token, as sums of
+    hashes of (page, count). Equal vectors have equal sums; sums of parts add up, so no vector is ever gathered. Copies of a
+    page count once in `pages`."""
     return tokens.groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.min("kind").alias("kind"),
+        F.count_distinct("page").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
         F.sum(F.shiftrightunsigned("print", 33)).alias("high"), F.sum(F.col("print").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))).alias("low"),
     )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of each host that stand on at least half of its pages, with their equivalence class.
-    At most twice as many as an average page has tokens, whatever the number of pages. EVERY_HOST is all hosts together."""
-    own = _vectors(page_tokens(pages))
-    sums = ("pages", "n", "chars", "linked", "high", "low")
-    total = own.groupBy("token").agg(*(F.sum(s).alias(s) for s in sums)).select(F.lit(EVERY_HOST).alias("host"), "token", *sums)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("size"))
-    sizes = sizes.unionByName(sizes.agg(F.sum("size").alias("size")).select(F.lit(EVERY_HOST).alias("host"), "size"))
-    frequent = own.unionByName(total).filter("pages >= 2").join(sizes.filter(F.col("size") >= LEAST_PAGES), "host").filter("2 * pages >= size")
-    members = F.struct(F.xxhash64("high", "low", "pages").alias("class"), "token", "pages", "n", "chars", "linked")
+    """(host, template): the element paths on at least half of a host's different pages, with their equivalence class, and the
+    texts that nine of ten share. At most a few times as many as an average page has tokens, whatever the number of pages."""
+    sizes = pages.groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("size"))
+    often = F.when(F.col("kind") > 0, 2 * F.col("pages") >= F.col("size")).otherwise(
+        (F.col("pages") >= REPEATED) & (10 * F.col("pages") >= 9 * F.col("size"))
+    )
+    frequent = _vectors(page_tokens(pages)).join(sizes, "host").filter(often)
+    members = F.struct(F.xxhash64("high", "low", "pages").alias("class"), "token", "parent", "depth", "kind", "pages", "n", "chars", "linked")
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list(members)).alias("template"))
 
 
@@ -230,28 +284,33 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages` (page_id, url, html).
 
     A page's tokens are its element paths (tags with class and id words) and its texts. Tokens with one occurrence vector
-    over a host's pages form a class; frequent classes nest into the host's template, and texts stand in its slots.
-    Slots of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are told by element,
-    role, class or id. Of the rest the article element is the main text; on pages without one it is the slots beside the
-    one with the most unlinked text, less texts that the host repeats. Character references are decoded, white space in a
-    block is one space, blocks are joined by a line feed. Null or empty pages give an empty text; pages without url share one
-    host; repeated rows count each. Templates of few hosts are broadcast after a count, others are joined by host."""
+    over a host's pages form a class; frequent classes nest into the host's template, and texts stand in its slots. The main
+    slot is the one around most unlinked text, with the article element around it where there is one; a page's main text is
+    what stands in that slot. Slots of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+    are told by element, role, class or id, those that repeat one text on the host's pages by that.
+    Character references are decoded, white space in a block is one space, blocks are joined by a line feed. Null or empty pages
+    give an empty text; pages without url share one host; a host of one page has that page for its template; copies of a page
+    tell no more than one; repeated rows count each. Broken markup of any depth and length is read in one pass. Templates are
+    broadcast while they are under TEMPLATE_BYTES together; beyond it a host's pages are dealt into SALTS parts."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = like(pages, ["page_id", "url", "html"]).withColumn("host", host)
     found = written(templates(rows))
-    every = found.filter(F.col("host") == EVERY_HOST).first()
-    shared = Template([] if every is None else [r.asDict() for r in every.template])
-    own = found.filter(F.col("host") != EVERY_HOST)
-    joined = rows.join(F.broadcast(own) if found.count() <= BROADCAST_HOSTS else own, "host", "left")
+    entries = found.agg(F.sum(F.size("template"))).first()[0] or 0
+    if entries * 72 <= TEMPLATE_BYTES:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", salt).join(salted, ["host", "salt"], "left")
 
     @F.pandas_udf("string")
     def extract(texts: pd.Series, hosts: pd.Series, chosen: pd.Series) -> pd.Series:
         known: dict[str, Template] = {}
         out = []
         for text, at, template in zip(texts, hosts, chosen, strict=True):
-            if template is not None and at not in known:
-                known[at] = Template(list(template))
-            out.append((shared if template is None else known[at]).text(text))
+            if at not in known:
+                known[at] = Template([] if template is None else list(template))
+            out.append(known[at].text(text))
         return pd.Series(out, dtype=object)
 
     return joined.select("page_id", "url", extract("html", "host", "template").alias("text")).select(

@@ -4,6 +4,7 @@ import collections
 import json
 import subprocess
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -153,9 +154,9 @@ def page_rows():
     return rows + [(30, "https://lone.net", PAGE.replace("{main}", "<main><p>Only one</main>").replace("{i}", "z")), (31, None, None), (32, "x", ""), (33, "https://a.org/33", "no markup at all"), (0, "https://a.org/0", rows[0][2])]
 
 
-@pytest.mark.parametrize("hosts", [20_000, 0])
-def test_main_texts(spark, monkeypatch, hosts):
-    monkeypatch.setattr(html_templates, "BROADCAST_HOSTS", hosts)
+@pytest.mark.parametrize("size", [8 << 20, 0])
+def test_main_texts(spark, monkeypatch, size):
+    monkeypatch.setattr(html_templates, "TEMPLATE_BYTES", size)
     table = spark.createDataFrame([(*r, "k", "t") for r in page_rows()], "page_id long, url string, html string, host string, token string")
     got = collections.defaultdict(list)
     for r in html_templates.main_texts(table.repartition(4)).collect():
@@ -168,6 +169,47 @@ def test_main_texts(spark, monkeypatch, hosts):
     assert html_templates.main_texts(table.limit(0)).count() == 0
 
 
+CASES = {
+    # a teaser in an article element beside the main text in a div
+    "teaser": ("<article class='card'><p>Teaser {i}</article><div class='text'><h2>T{i}</h2><p>Long text {i} of the page<p>and more {i} of it</div>", "T{i}\nLong text {i} of the page\nand more {i} of it"),
+    # several of them
+    "cards": ("<article><p>A {i}</article><article><p>B {i}</article><div id=x><p>The main text {i}, longer than both of them", "The main text {i}, longer than both of them"),
+    # no element tells
+    "table": ("<center><table><tr><td class=l>Left<td class=m><p>Main words {i}<p>more main words {i}</table></center>", "Main words {i}\nmore main words {i}"),
+    # the host repeats a block inside its articles, under a name of no list
+    "inside": ("<article><h1>H{i}</h1><p>Words {i} and a good many more of them on this page, so that it is clear what it is about<div class='zz'>Read on our site</div><p>last {i}</article>", "H{i}\nWords {i} and a good many more of them on this page, so that it is clear what it is about\nlast {i}"),
+    # captions, and paragraphs that are all links, are part of the main text
+    "caption": ("<article><p>Words {i} and words<figure><figcaption>Caption {i}</figcaption></figure><p><a href=x>linked {i}</a></article>", "Words {i} and words\nCaption {i}\nlinked {i}"),
+}
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_the_template_decides(spark, case):
+    body, want = CASES[case]
+    rows = [(i, f"http://h.org/{i}", PAGE.replace("{main}", body).replace("{i}", f"{i}w")) for i in range(7)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_templates.main_texts(table).collect()}
+    assert got == {i: want.replace("{i}", f"{i}w") for i in range(7)}
+    if case != "caption":
+        assert html_templates.Template([]).text(rows[0][2]) != got[0], "without a template the text is another"
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    body = "<article><h1>Same head</h1><p>Same words in all of the pages<p>and these {i}</article>"
+    rows = [(i, "http://h.org", PAGE.replace("{main}", body).replace("{i}", str(i // 4))) for i in range(24)]
+    got = html_templates.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Same head\nSame words in all of the pages\nand these {i // 4}" for i in range(24)}
+
+
+@pytest.mark.parametrize("part", ["<a ", '<p "', "<!", "<div>", "</div>", "<", "<p '\"", "<script>x", "</script ", "<p a=", "&", "<div><p>a"])
+def test_broken_markup_is_read_in_one_pass(part):
+    page = part * (1_000_000 // len(part))
+    start = time.process_time()
+    html_templates.Template([]).text(page)
+    html_templates.tokens_of(page)
+    assert time.process_time() - start < 40
+
+
 def test_given_pages_give_their_articles(spark):
     got = {r.page_id: r.text for r in QUERIES["op2_template_extraction"](spark, SF).collect()}
     for page in common.table(spark, SF, "pages").collect():

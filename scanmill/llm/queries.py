@@ -26,8 +26,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The key of the pseudonyms: set spark.scanmill.pii.key; the default serves tests only."""
-    return spark.conf.get("spark.scanmill.pii.key", "scanmill-test-key-of-32-letters!").encode()
+    """The key of the pseudonyms, from spark.scanmill.pii.key. The default is public, so it serves tests on one machine only;
+    elsewhere a missing key is an error."""
+    key = spark.conf.get("spark.scanmill.pii.key", None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.scanmill.pii.key: whoever has the key can invert the pseudonyms")
+    return (key or "scanmill-test-key-of-32-letters!").encode()
 
 
 def query(fn: Query) -> Query:

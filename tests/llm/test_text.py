@@ -2,7 +2,9 @@
 
 import datetime
 import random
+import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scanmill.llm import decontamination, language_mixture, packing, pseudonyms
+from scanmill.llm.queries import pii_key
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, words string"
@@ -207,6 +210,53 @@ def test_invalid_values_and_plain_texts_stay():
         assert pseudonyms.pseudonymised(text, KEY) == (text, [])
 
 
+WRITTEN = {
+    "2024-03-04T10:00:00Z": "date", "3/4/2024": "date", "1.2.2024": "date", "+33 1 42 68 53 00": "phone", "+49 30 901820": "phone",
+    "+44 20 7946 0958": "phone", "+34 912 345 678": "phone", "+1 (555) 123-4567": "phone", "+12345678": "phone",
+}
+
+
+@pytest.mark.parametrize("value", sorted(WRITTEN))
+def test_values_as_other_countries_write_them(value):
+    new, kinds = pseudonyms.pseudonymised(f"a {value} b", KEY)
+    assert kinds == [WRITTEN[value]] and value not in new
+    assert pseudonyms.pseudonymised(new, KEY)[1] == kinds
+    if WRITTEN[value] == "phone":
+        assert [c if not c.isdigit() else "0" for c in new] == [c if not c.isdigit() else "0" for c in f"a {value} b"]
+    else:
+        assert new.endswith("T10:00:00Z b") == ("T10" in value)
+
+
+def test_more_digits_than_a_number_has_stay():
+    new, kinds = pseudonyms.pseudonymised("+33 1 42 68 53 00 2024 12 34 56", KEY)
+    assert kinds == ["phone"] and new.endswith(" 12 34 56") and "42 68 53 00" not in new
+
+
+def test_one_digit_dates_are_the_dates_they_name():
+    (plain,), (padded,) = ([pseudonyms.pseudonymised(v, KEY)[0]] for v in ("3/4/2024", "03/04/2024"))
+    assert [int(p) for p in plain.split("/")] == [int(p) for p in padded.split("/")]
+
+
+@pytest.mark.parametrize("text", ["a1b2" * 250_000, "9F" * 2_000, "token=" + "Ab1" * 300_000, "1" * 1_000_000, "x" * 500_000 + "@a.de", "+1 " * 300_000, "a@" * 500_000, "1." * 500_000, "DE12 " * 200_000])
+def test_very_long_values(text):
+    start = time.process_time()
+    new, _ = pseudonyms.pseudonymised(text, KEY)
+    assert len(new) == len(text) and time.process_time() - start < 30
+
+
+def test_blocks_of_long_values_are_a_permutation():
+    values = ["ab" * 40 + f"{i:02x}" + "0" * j for i in range(40) for j in (0, 70)]
+    new = [pseudonyms.pseudonymised(v, KEY)[0] for v in values]
+    assert len(set(new)) == len(values) and all(len(a) == len(b) and a != b for a, b in zip(new, values))
+    assert len({n[:64] for n in new}) == 1, "what is equal before stays equal"
+
+
+def test_a_cluster_must_name_its_key():
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn"), conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="pii.key"):
+        pii_key(session)
+
+
 def test_pseudonyms_as_tables(spark):
     rows = [(1, None, "en"), (2, "mail a.b1@c2.org now", "en"), (2, "mail a.b1@c2.org now", "en"), (None, "x " * 50_000 + "42.144.35.254", None)]
     got = pseudonyms.pseudonyms(docs(spark, rows), KEY).orderBy("doc_id").collect()

@@ -30,25 +30,35 @@ WITH texts AS (
          CASE WHEN n_words > 0 THEN least(1000 * n_repeat_words // n_words, 1000) ELSE 0 END AS repeats,
          CASE WHEN n_words > 0 THEN least(10 * word_chars // n_words, 1000) ELSE 0 END AS word_length
   FROM counts
+), sketch AS (
+  SELECT lang, source, measure, bin, count(*) AS n FROM (
+    SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS measure, unnest([symbols, dup_lines, repeats, word_length]) AS bin
+    FROM measures WHERE NOT base_failed
+  ) GROUP BY ALL
+), langs AS (
+  SELECT lang, measure, bin, sum(n) AS n FROM sketch GROUP BY ALL
+), sizes AS (
+  SELECT lang, measure, sum(n) AS rows FROM langs GROUP BY ALL
+), blended AS (
+  SELECT lang, source, measure, bin, sum(w)::HUGEINT AS w FROM (
+    SELECT s.lang, source, s.measure, bin, n::HUGEINT * rows AS w FROM sketch s JOIN sizes z ON s.lang IS NOT DISTINCT FROM z.lang AND s.measure = z.measure
+    UNION ALL
+    SELECT g.lang, g.source, l.measure, l.bin, 10::HUGEINT * l.n FROM (SELECT DISTINCT lang, source FROM sketch) g JOIN langs l ON g.lang IS NOT DISTINCT FROM l.lang
+  ) GROUP BY ALL
+), reached AS (
+  SELECT *, 100 * sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS seen, sum(w) OVER (PARTITION BY lang, source, measure) AS total FROM blended
 ), q AS (
-  SELECT lang, source, grouping(lang, source) AS g, count(*) AS rows,
-         quantile_disc(symbols, [0.1, 0.5, 0.9]) AS sy, quantile_disc(dup_lines, [0.1, 0.5, 0.9]) AS du,
-         quantile_disc(repeats, [0.1, 0.5, 0.9]) AS re, quantile_disc(word_length, [0.1, 0.5, 0.9]) AS wo
-  FROM measures WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())
+  SELECT lang, source, measure, min(bin) FILTER (seen >= 25 * total) AS q25, min(bin) FILTER (seen >= 50 * total) AS q50,
+         min(bin) FILTER (seen >= 75 * total) AS q75, min(bin) FILTER (seen >= 99 * total) AS q99
+  FROM reached GROUP BY ALL
 ), bounds AS (
-  SELECT a.lang, a.source,
-         CASE WHEN a.rows >= 100 THEN a.sy WHEN b.rows >= 100 THEN b.sy ELSE c.sy END AS sy,
-         CASE WHEN a.rows >= 100 THEN a.du WHEN b.rows >= 100 THEN b.du ELSE c.du END AS du,
-         CASE WHEN a.rows >= 100 THEN a.re WHEN b.rows >= 100 THEN b.re ELSE c.re END AS re,
-         CASE WHEN a.rows >= 100 THEN a.wo WHEN b.rows >= 100 THEN b.wo ELSE c.wo END AS wo
-  FROM q a JOIN q b ON a.lang IS NOT DISTINCT FROM b.lang JOIN q c ON true WHERE a.g = 0 AND b.g = 1 AND c.g = 3
+  SELECT lang, source, max(q75 + 5 * (q75 - q25) + 10) FILTER (measure = 'symbols') AS sy, max(q99 + q99 - q50 + 10) FILTER (measure = 'dup_lines') AS du,
+         max(q99 + q99 - q50 + 10) FILTER (measure = 'repeats') AS re, max(q75 + 5 * (q75 - q25) + 10) FILTER (measure = 'word_length') AS hi,
+         max(q25 - 5 * (q75 - q25) - 10) FILTER (measure = 'word_length') AS lo
+  FROM q GROUP BY ALL
 )
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed
-       AND symbols <= sy[2] + greatest(5 * (sy[2] - sy[1]), 60)
-       AND dup_lines <= du[2] + greatest(5 * (du[2] - du[1]), 400)
-       AND repeats <= re[2] + greatest(5 * (re[2] - re[1]), 400)
-       AND word_length BETWEEN wo[2] - greatest(5 * (wo[3] - wo[2]), 25) AND wo[2] + greatest(5 * (wo[2] - wo[1]), 25) AS kept
+       NOT base_failed AND symbols <= sy AND dup_lines <= du AND repeats <= re AND word_length BETWEEN lo AND hi AS kept
 FROM measures m LEFT JOIN bounds b ON m.lang IS NOT DISTINCT FROM b.lang AND m.source IS NOT DISTINCT FROM b.source
 """
 

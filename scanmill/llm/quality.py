@@ -13,16 +13,19 @@ from scanmill.llm.common import like, written
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
-LEAST_GROUP = 100
-"""Groups with fewer rows take the thresholds of their language, and languages with fewer those of all rows."""
+PRIOR = 10
+"""So many rows of its language's sketch, spread as there, are added to each group's own: a small group leans on its language, a
+large one hardly does."""
 TOP = 1000
 """Sketch bins: shares in thousandths, and tenths of letters for the mean word."""
 MEASURES = ("symbols", "dup_lines", "repeats", "word_length")
-SPREAD = 5
-"""A measure is out of bounds beyond its median by this many times the distance from a tenth to the median (median to nine
-tenths on the low side), and by SLACK at least."""
-# The least distance from the median that counts, in units of the sketch, for each measure.
-SLACK = {"symbols": 60, "dup_lines": 400, "repeats": 400, "word_length": 25}
+# How a bound follows from the quantiles of a group, in percent. Junk by symbols or by odd words is a crowd of its own,
+# up to a quarter of a group: its bound lies five quartile distances beyond the quartiles. Repeats have one long tail: the bound
+# lies beyond the last hundredth by its distance from the median.
+RULES = {"symbols": (75, 25, 5), "dup_lines": (99, 50, 1), "repeats": (99, 50, 1), "word_length": (75, 25, 5)}
+ROUNDING = 10
+"""A bound lies this many units of the sketch further out, as one symbol or word of a short text moves it by a few."""
+QUANTILES = (25, 50, 75, 99)
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -92,49 +95,49 @@ def sketches(rows: DataFrame) -> DataFrame:
     )
 
 
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: its rows and, for each measure, the tenth, half and nine tenths quantile. The bins of one
-    group and measure are at most TOP + 1, whatever the number of rows."""
-    bins = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-    lists = bins.groupBy(*keys, "measure").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), *(F.lit(None).cast("long").alias(q) for q in ("q1", "q5", "q9")))
+def _blended(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, bin, w): each group's sketch with PRIOR rows of its language's, as whole numbers: counts of the group
+    times the language's rows, plus PRIOR times counts of the language. At most TOP + 1 bins for each measure of a group."""
+    wide = "decimal(38,0)"
+    langs = sketch.groupBy(F.col("lang").alias("l"), "measure", "bin").agg(F.sum("n").alias("m"))
+    rows = langs.groupBy(F.col("l").alias("k"), F.col("measure").alias("of")).agg(F.sum("m").alias("rows"))
+    same = F.col("lang").eqNullSafe(F.col("k")) & (F.col("measure") == F.col("of"))
+    own = sketch.join(rows, same).select("lang", "source", "measure", "bin", (F.col("n").cast(wide) * F.col("rows")).cast(wide).alias("w"))
+    prior = sketch.select("lang", "source").distinct().join(langs, F.col("lang").eqNullSafe(F.col("l"))).select(
+        "lang", "source", "measure", "bin", (F.col("m").cast(wide) * PRIOR).cast(wide).alias("w")
+    )
+    return own.unionByName(prior).groupBy("lang", "source", "measure", "bin").agg(F.sum("w").cast(wide).alias("w"))
+
 
-    def reach(tenths: int, name: str, state: Column, step: Column) -> Column:
-        found = (10 * (state["seen"] + step["n"]) >= tenths * F.col("rows")) & state[name].isNull()
-        return F.when(found, step["bin"]).otherwise(state[name]).alias(name)
+def _quantiles(blended: DataFrame) -> DataFrame:
+    """One row per group with, for each measure, its QUANTILES: the least bin that so many hundredths of the weight reach."""
+    keys = ["lang", "source", "measure"]
+    lists = blended.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "w"))).alias("bins"), F.sum("w").cast("decimal(38,0)").alias("total"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    start = F.struct(zero.alias("seen"), *(F.lit(None).cast("long").alias(f"q{q}") for q in QUANTILES))
 
     def walk(state: Column, step: Column) -> Column:
-        return F.struct((state["seen"] + step["n"]).alias("seen"), *(reach(t, f"q{t}", state, step) for t in (1, 5, 9)))
+        seen = (state["seen"] + step["w"]).cast("decimal(38,0)")
+        reached = (F.when((100 * seen >= q * F.col("total")) & state[f"q{q}"].isNull(), step["bin"]).otherwise(state[f"q{q}"]).alias(f"q{q}") for q in QUANTILES)
+        return F.struct(seen.alias("seen"), *reached)
 
-    return lists.select(*keys, "measure", "rows", F.aggregate("bins", start, walk).alias("q")).groupBy(*keys).agg(
-        F.max("rows").alias("rows"),
-        *(F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m in MEASURES),
+    return lists.select(*keys, F.aggregate("bins", start, walk).alias("q")).groupBy("lang", "source").agg(
+        *(F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m in MEASURES)
     )
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_high..., word_length_low): bounds of every group. Small groups take those of their language
-    or of all rows, whose sketches are the sums of the groups' sketches."""
-    own = _quantiles(sketch, ["lang", "source"]).select("lang", "source", F.struct("rows", *MEASURES).alias("own"))
-    by_lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.struct("rows", *MEASURES).alias("by_lang"))
-    overall = _quantiles(sketch.withColumn("one", F.lit(1)), ["one"]).select("one", F.struct("rows", *MEASURES).alias("overall"))
-    chosen = (
-        own.join(by_lang, F.col("lang").eqNullSafe(F.col("l"))).withColumn("one", F.lit(1)).join(overall, "one")
-        .select(
-            "lang", "source",
-            F.when(F.col("own.rows") >= LEAST_GROUP, F.col("own"))
-            .when(F.col("by_lang.rows") >= LEAST_GROUP, F.col("by_lang")).otherwise(F.col("overall")).alias("t"),
-        )
+    """(lang, source, <measure>_high..., word_length_low): the bounds of every group by RULES."""
+    def distance(m: str) -> Column:
+        far, near, times = RULES[m]
+        return times * (F.col(f"{m}.q{far}") - F.col(f"{m}.q{near}")) + ROUNDING
+
+    far, near, _ = RULES["word_length"]
+    return _quantiles(_blended(sketch)).select(
+        "lang", "source", *((F.col(f"{m}.q{RULES[m][0]}") + distance(m)).alias(f"{m}_high") for m in MEASURES),
+        (F.col(f"word_length.q{near}") - distance("word_length")).alias("word_length_low"),
     )
 
-    def high(m: str) -> Column:
-        q = F.col(f"t.{m}")
-        return (q["q5"] + F.greatest(SPREAD * (q["q5"] - q["q1"]), F.lit(SLACK[m]))).alias(f"{m}_high")
-
-    q = F.col("t.word_length")
-    low = q["q5"] - F.greatest(SPREAD * (q["q9"] - q["q5"]), F.lit(SLACK["word_length"]))
-    return chosen.select("lang", "source", *(high(m) for m in MEASURES), low.alias("word_length_low"))
-
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every row of `docs`.
@@ -142,7 +145,8 @@ def judged(docs: DataFrame) -> DataFrame:
     Rows under LEAST_WORDS words, or with over half of their words in repeated windows, fail the base rules. The others
     are kept if every measure lies within the bounds of their language and source: shares of symbols, of repeated lines
     and of repeated words not above, and the mean word's letters neither above nor below. Null languages and sources are
-    groups of their own; null texts have no words and fail. Repeated rows count each; no rows give no rows."""
+    groups of their own; null texts have no words and fail. A group's bounds come from the quantiles of its sketch and a little of its
+    language's, so a source with other habits has other bounds. Repeated rows count each; no rows give no rows."""
     rows = written(measures(counted(docs)))
     bounds = thresholds(written(sketches(rows))).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     joined = rows.join(bounds, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")

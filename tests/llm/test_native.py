@@ -43,19 +43,18 @@ def quality_rows():
     return rows + [rows[3], (None, plain, None, None, 1, "x", 2)]
 
 
-@pytest.mark.parametrize("least", [100, 2])
-def test_quality_equals_its_sql_twin(spark, monkeypatch, least):
-    monkeypatch.setattr(quality, "LEAST_GROUP", least)
+@pytest.mark.parametrize("prior", [10, 1])
+def test_quality_equals_its_sql_twin(spark, monkeypatch, prior):
+    monkeypatch.setattr(quality, "PRIOR", prior)
     rows = quality_rows()
     got = quality.judged(spark.createDataFrame(rows, QUALITY)).drop(*quality.MEASURES)
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
     con.executemany("insert into documents values (?, ?, ?, ?)", [r[:4] for r in rows])
     # The twin tells rows apart by doc_id, so the repeated row and the one without id are compared without their windows.
-    want = con.execute(ORACLES["op4_adaptive_quality"].replace(">= 100", f">= {least}")).fetchall()
+    want = con.execute(ORACLES["op4_adaptive_quality"].replace("10::HUGEINT", f"{prior}::HUGEINT")).fetchall()
     unique = lambda xs: sorted(str(tuple(x)) for x in xs if x[0] not in (3, None))
-    if least == 100:
-        assert unique(got.collect()) == unique(want)
+    assert unique(got.collect()) == unique(want)
     assert got.count() == len(rows)
     assert "Python" not in plan_of(got) and "Pandas" not in plan_of(got)
 
@@ -67,6 +66,30 @@ def test_repeated_words_by_hand(spark):
     assert got == {1: 6, 2: 4, 3: 0, 4: 6}
 
 
+def test_every_measure_has_its_own_bound_in_every_source(spark):
+    """Two sources that differ in each measure: their bounds differ, and the worst tail of each measure goes in each."""
+    def text(i, symbols, lines, again, letters):
+        words = [f"{i}x{j}".ljust(letters, "q") for j in range(150)]
+        words = [w + "#" * (j < symbols) for j, w in enumerate(words)] + words[:again]
+        return "\n".join([" ".join(words[j::15]) for j in range(15)] + ["same"] * lines) if not again else " ".join(words)
+
+    rows = []
+    for source, (symbols, lines, again, letters) in (("low", (3, 2, 6, 7)), ("high", (40, 6, 30, 12))):
+        rows += [(len(rows) + i, text(i, i % symbols, 1 + i % lines, 0, letters + i % 2), "en", source) for i in range(700)]
+        rows += [(len(rows) + i, text(i, 0, 0, i % again, letters), "en", source) for i in range(100)]
+    worst = [(10_000 + k, text(k, *case, 9), "en", s) for s in ("low", "high") for k, case in enumerate([(150, 1, 0), (0, 60, 0), (0, 0, 130)])]
+    worst = [(d + (3 if s == "high" else 0), t, lang, s) for d, t, lang, s in worst] + [(10_010, text(1, 0, 1, 0, 40), "en", "low"), (10_011, "ab " * 3 + " ".join("abcdefgh"[j % 8] + "ij"[j // 8 % 2] + "klm"[j // 16 % 3] for j in range(48)), "en", "high")]
+    table = common.written(spark.createDataFrame(rows + worst, "doc_id long, text string, lang string, source string").repartition(8))
+    marked = common.written(quality.measures(quality.counted(table)))
+    bounds = {r.source: r for r in quality.thresholds(common.written(quality.sketches(marked))).collect()}
+    for m in quality.MEASURES:
+        assert bounds["low"][f"{m}_high"] < bounds["high"][f"{m}_high"], m
+    assert bounds["low"].word_length_low < bounds["high"].word_length_low
+    got = {r.doc_id: r for r in quality.judged(table).collect()}
+    assert not any(got[d].kept for d, *_ in worst)
+    assert sum(got[d].kept for d, *_ in rows) > 0.98 * len(rows)
+
+
 def test_thresholds_follow_the_group(spark):
     rows = [(i, " ".join(f"w{i}x{j}" + ("#" if s == "marked" else "") for j in range(60)), "en", s) for s in ("plain", "marked") for i in range(120)]
     rows += [(999, " ".join(f"w50x{j}#" for j in range(60)), "en", "plain"), (998, " ".join(f"w50x{j}#" for j in range(60)), "en", "marked")]

@@ -302,24 +302,25 @@ def cut_repeats(text: str | None, runs: list[tuple[int, int]], length: int) -> t
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of `docs` (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans) of every row of `docs` (doc_id, text).
 
     Every byte is removed that a string of `length` bytes covers which also starts elsewhere in any row; strings are judged
     on the input and never cross rows. Windows of `length` bytes meet by their anchor, a gram chosen by their bytes alone.
     Windows around anchors that occur as a whole in several places are repeated; those that share a gram only are put into
     shards by gram, where a suffix array and its common prefixes find the repeated ones, and grams with more than SHARD
-    contexts are merged across shards. Spans are maximal runs of removed bytes (start, end). Null and short texts lose
+    contexts are merged across shards. Spans are maximal runs of removed bytes (start, end); kept_text is what is left, without the parts of a letter that
+    a span cuts. Null and short texts lose
     nothing. Repeated rows are each other's copies; rows are told apart by doc_id and text, so doc_id may be null or repeat."""
     rows = like(docs, ["doc_id", "text"]).withColumn("mark", F.xxhash64("text"))
     found = repeats(rows, length).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "runs")
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start: long, end: long>>")
     def remove(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
         out = []
         for text, own in zip(texts, runs, strict=True):
             size, spans, kept = cut_repeats(text, [] if own is None else [(r["s"], r["e"]) for r in own], length)
-            out.append((size, size - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            out.append((size, size - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"), [{"start": s, "end": e} for s, e in spans]))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"])
 
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
     return joined.select("doc_id", remove("text", "runs").alias("r")).select("doc_id", "r.*")

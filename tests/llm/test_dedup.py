@@ -53,7 +53,10 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, shard):
     rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(5, page)]
     got = suffix_dedup.without_repeats(frame(spark, rows).repartition(3))
     want = sorted((str(d), *w) for (d, _), w in zip(rows, brute_cut([t for _, t in rows], 400)))
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
+    got = got.collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert all(len(r.kept_text.encode()) <= r.n_bytes - r.n_removed < len(r.kept_text.encode()) + 4 * (r.n_spans + 1) for r in got)
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got if r.kept_text.isascii())
 
 
 def test_suffix_dedup_of_an_empty_table(spark):

@@ -2,13 +2,15 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from scanmill.config import BEV, MODELS, SensorModel, SensorMount
+from scanmill.config import BEV, MODELS, Bev, SensorModel, SensorMount
 from scanmill.operators import box_filter, fusion, history, labels, range_image, rasters, samples, sensor_frame, splits
-from scanmill.operators import tracks, voxel_groups
+from scanmill.operators import raster_tiles, tracks, voxel_groups
+from scanmill.sources import checkpoints
 
 RIG = SensorModel("rig", (SensorMount("m", 0.0, 0.0, 0.0, 0.0),), 80.0, -72.5, 72.5, (0.0,), azimuth_steps=580)
 SCAN = "sequence string, frame_index int, sensor string, ray_id int, x float, y float, z float, intensity float"
@@ -222,3 +224,30 @@ def test_samples_are_numbered_without_gaps(spark):
 def test_only_mounts_of_the_model_are_kept(spark):
     scan = scan_of(spark, [("s", 0, n, 0, 1.0, 1.0, 1.0, 0.0) for n in ("front_left", "roof")])
     assert [r.sensor for r in sensor_frame.points_single(scan, MODELS["scala"]).collect()] == ["front_left"]
+
+
+# ---------------------------------------------------------------- whole rasters
+
+
+def test_tiles_give_their_pixels_and_images_back(spark):
+    bev = Bev(x_size=24, y_size=20)
+    rng = random.Random(3)
+    pixels = []
+    for frame in range(3):
+        cells = {(rng.randrange(24), rng.choice([0, 3, 4, 19])) for _ in range(40)}
+        cells |= {(x, 7) for x in range(24)}
+        pixels += [("s", frame, "front_center", x, y, 0, rng.choice([0, 255]), rng.choice([7, 200]) if y != 7 else 9) for x, y in cells]
+    table = spark.createDataFrame(pixels, "sequence string, frame_index int, sensor string, px int, py int, b short, g short, r short")
+    packed = checkpoints.written(raster_tiles.raster_tiles(table.withColumn("runs", F.lit("clash")), bev))
+    back = raster_tiles.tile_pixels(packed)
+    assert back.columns == table.columns and sorted(map(tuple, back.collect())) == sorted(pixels)
+    images = {r.frame_index: r.image for r in raster_tiles.tile_images(packed, bev).collect()}
+    for row in packed.collect():
+        own = {(p[3], p[4]): bytes(p[5:]) for p in pixels if p[1] == row.frame_index}
+        assert row.n_pixels == len(own) and [t.py for t in row.lines] == sorted({y for _, y in own})
+        bits = "".join(f"{b:08b}" for b in row.occupied)
+        assert [i for i, bit in enumerate(bits) if bit == "1"] == sorted({y for _, y in own})
+        assert images[row.frame_index] == b"".join(own.get((x, y), bytes(3)) for y in range(20) for x in range(24))
+        for line in row.lines:
+            assert all(a.px + a.length < b.px or (a.b, a.g, a.r) != (b.b, b.g, b.r) for a, b in zip(line.runs, line.runs[1:]))
+    assert raster_tiles.raster_tiles(table.limit(0), bev).count() == 0

@@ -551,6 +551,15 @@ select sequence, sensor, {big('frame_index', 'px', 'py')}, cast(0 as bigint) b,
   cast(coalesce(arg_max({_value}, ray_id) filter (where not earlier), 0) as bigint) g, cast(coalesce(arg_max({_value}, ray_id) filter (where earlier), 0) as bigint) r
 from painted group by sequence, sensor, frame_index, px, py""")
 
+oracle("raster_tiles", f"""with pixels0 as ({ORACLES['raster_overlap_height']}), scans0 as (
+  select sequence, sensor, frame_index, count(*) as n_pixels, count(distinct py) as n_lines, list(distinct py) as painted_lines from pixels0 group by all
+), bits as (
+  select *, list_aggregate(list_transform(range(0, 256), lambda k: format('{{:x}}', cast(list_sum(list_transform(range(0, 4),
+    lambda j: case when list_contains(painted_lines, 4 * k + j) then 1 << (3 - j) else 0 end)) as int))), 'string_agg', '') as nibbles from scans0
+)
+select p.*, n_pixels, n_lines, md5(unhex(nibbles)) as occupied
+from pixels0 p join bits s on s.sequence = p.sequence and s.sensor = p.sensor and s.frame_index = p.frame_index""")
+
 # ---------------------------------------------------------------- oriented boxes
 
 CORNER_SIGNS = ((1, 1), (-1, 1), (-1, -1), (1, -1))

@@ -13,6 +13,7 @@ from scanmill.functions import boxes as box_fn
 from scanmill.functions.poses import MOTION_FIELDS
 from scanmill.functions.voxels import voxel_index, walk_length
 from scanmill.operators import box_filter, first_hit, fusion, history, labels, range_image, rasters, samples
+from scanmill.operators import raster_tiles as tiles
 from scanmill.operators import sensor_frame, splits, tracks, voxel_groups
 from scanmill.operators.rays import ray_cells
 from scanmill.plans.dataset import generated_labels, split_keys, to_obb_samples, write_dataset
@@ -392,6 +393,15 @@ def raster_height_centre(spark, d):
     return rasters.raster(_scan(spark, d), fx.frames(spark, d), SCALA, "height", origin="center")
 
 
+@query
+def raster_tiles(spark, d):
+    """Rasters packed into one row per scan and unpacked again, each pixel with what its scan's row says."""
+    pixels = rasters.raster(_scan_table(spark, d), fx.frames(spark, d), SCALA, "overlap_height")
+    packed = written(tiles.raster_tiles(pixels))
+    counts = packed.select(*first_hit.SCAN_KEYS, "n_pixels", F.size("lines").alias("n_lines"), F.md5("occupied").alias("occupied"))
+    return tiles.tile_pixels(packed).join(counts, list(first_hit.SCAN_KEYS))
+
+
 @query
 def split_left_over(spark, d):
     """Listed sequences that exist and are not in the sample: what remains for validation."""

@@ -21,6 +21,7 @@ HEADLINE = (
     "range_to_points", "range_to_points_top", "dense_cloud", "voxel_nearest", "first_hits", "first_hits_banded", "sparse_scan",
     "points_1f", "box_counts_inverse", "box_counts_far", "split_points", "label_lines", "history_pairs", "points_2f", "points_4f",
     "tracks_4f", "raster_height", "raster_overlap", "raster_overlap_height", "obb_training_lines", "plane_to_sensor",
+    "first_hits_near", "generated_obb_lines",
 )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +17,11 @@ _TURN = "struct<role: string, text: string>"
 
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: the nested fields that name it, and how to get turns from it.
-
-    `fields` is written as an object type without scalar types, names in order: the form of `fingerprint`'s input."""
+    """A record layout: the nested field paths that name it, and how to get turns from it. A path is `field`, or `list[].field`
+    for a field of the objects in a list."""
 
     name: str
-    fields: str
+    paths: tuple[str, ...]
     turns: Callable[[Column], Column]
 
 
@@ -29,13 +29,17 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _items(record: Column, path: str) -> Column:
+    return F.try_variant_get(record, f"$.{path}", "array<variant>")
+
+
 def _listed(path: str, role: str, text: str, roles: dict[str, str] | None = None) -> Callable[[Column], Column]:
     """Turns from a list of messages."""
 
     def turns(record: Column) -> Column:
-        found = F.variant_get(record, f"$.{path}", f"array<struct<`{role}`: string, `{text}`: string>>")
+        get = lambda item, name: F.try_variant_get(item, f"$.{name}", "string")
         named = (lambda r: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in roles.items() for x in pair)), r), r)) if roles else (lambda r: r)
-        return F.transform(found, lambda m: _turn(named(m[role]), m[text]))
+        return F.transform(_items(record, path), lambda m: _turn(named(get(m, role)), get(m, text)))
 
     return turns
 
@@ -44,7 +48,7 @@ def _pair(question: str, answer: str, extra: str | None = None, system: str | No
     """A user turn and an assistant turn from flat fields; empty extra input and system prompts add nothing."""
 
     def turns(record: Column) -> Column:
-        get = lambda name: F.coalesce(F.variant_get(record, f"$.{name}", "string"), F.lit(""))
+        get = lambda name: F.coalesce(F.try_variant_get(record, f"$.{name}", "string"), F.lit(""))
         asked = get(question)
         if extra:
             asked = F.when(get(extra) == "", asked).otherwise(F.concat(asked, F.lit("\n\n"), get(extra)))
@@ -56,28 +60,50 @@ def _pair(question: str, answer: str, extra: str | None = None, system: str | No
     return turns
 
 
+# The first layout whose paths a record has is its own, so those that ask for more stand before those that ask for less.
 LAYOUTS = (
-    Layout("turn rows", "OBJECT<turns: ARRAY<OBJECT<role, text, turn>>>", _listed("turns", "role", "text")),
-    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", _listed("messages", "role", "content")),
+    Layout("turn rows", ("turns[].role", "turns[].text", "turns[].turn"), _listed("turns", "role", "text")),
+    Layout("messages", ("messages[].content", "messages[].role"), _listed("messages", "role", "content")),
     Layout(
-        "from and value", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>",
+        "from and value", ("conversations[].from", "conversations[].value"),
         _listed("conversations", "from", "value", {"human": "user", "gpt": "assistant"}),
     ),
-    Layout("instruction", "OBJECT<input, instruction, output>", _pair("instruction", "output", extra="input")),
-    Layout("bare instruction", "OBJECT<instruction, output>", _pair("instruction", "output")),
-    Layout("completion", "OBJECT<completion, prompt>", _pair("prompt", "completion")),
-    Layout("response", "OBJECT<prompt, response>", _pair("prompt", "response")),
-    Layout("system prompt", "OBJECT<prompt, response, system>", _pair("prompt", "response", system="system")),
+    Layout("system prompt", ("prompt", "response", "system"), _pair("prompt", "response", system="system")),
+    Layout("preference", ("chosen", "prompt", "rejected"), _pair("prompt", "chosen")),
+    Layout("instruction", ("input", "instruction", "output"), _pair("instruction", "output", extra="input")),
+    Layout("bare instruction", ("instruction", "output"), _pair("instruction", "output")),
+    Layout("completion", ("completion", "prompt"), _pair("prompt", "completion")),
+    Layout("response", ("prompt", "response"), _pair("prompt", "response")),
 )
 
 
-def field_paths(record: Column) -> Column:
-    """The nested fields of a variant as an object type without scalar types, so that values and nulls change nothing."""
-    return F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?", "")
+def _has(record: Column, path: str) -> Column:
+    """Whether a record has a path, be its value null; an empty list has the path `list[]`."""
+    outer, _, inner = path.partition("[]")
+    if "[]" not in path:
+        return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
+    items = _items(record, outer)
+    if not inner:
+        return F.coalesce(F.size(items) == 0, F.lit(False))
+    return F.coalesce(F.exists(items, lambda i: F.try_variant_get(i, f"${inner}", "variant").isNotNull()), F.lit(False))
+
+
+def field_paths(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Those of the layouts' nested field paths that a record has, in order. Other fields and all values change nothing."""
+    known = sorted({p for layout in layouts for p in layout.paths} | {p.partition("[]")[0] + "[]" for layout in layouts for p in layout.paths if "[]" in p})
+    return F.array_compact(F.array(*(F.when(_has(record, p), F.lit(p)) for p in known)))
 
 
 def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(paths)
+    """A hash of a set of paths in order."""
+    return F.xxhash64(F.array_join(paths, ","))
+
+
+def _is(layout: Layout, paths: Column) -> Column:
+    """Whether the record's paths, cut to the layout's own, have the layout's fingerprint; an empty list is a list of any items."""
+    own = fingerprint(F.filter(paths, lambda p: p.isin(*layout.paths))) == fingerprint(F.array(*map(F.lit, sorted(layout.paths))))
+    lists = {p.partition("[]")[0] + "[]" for p in layout.paths if "[]" in p}
+    return reduce(or_, (F.array_contains(paths, name) for name in sorted(lists)), own)
 
 
 def _escaped(text: Column) -> Column:
@@ -94,11 +120,12 @@ def _plain(text: Column) -> Column:
 
 def canonical(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, layout, turns) of `records` (conv_id, record: variant). The fingerprint of a record's nested field
-    paths picks the layout; records of none have a null layout and null turns."""
-    marked = records.select("conv_id", "record", fingerprint(field_paths(F.col("record"))).alias("print"))
+    paths picks the layout; fields that the layout does not need are passed over, empty lists give no turns; records of no layout
+    have a null layout and null turns."""
+    marked = records.select("conv_id", "record", field_paths(F.col("record"), layouts).alias("paths"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{_TURN}>")
     for layout in reversed(layouts):
-        same = F.col("print") == fingerprint(F.lit(layout.fields))
+        same = _is(layout, F.col("paths"))
         name, turns = F.when(same, F.lit(layout.name)).otherwise(name), F.when(same, layout.turns(F.col("record"))).otherwise(turns)
     return marked.select("conv_id", name.alias("layout"), turns.alias("turns"))
 

@@ -109,6 +109,16 @@ RECORDS = [
     ({"prompt": "p", "completion": "c"}, "completion", [("user", "p"), ("assistant", "c")]),
     ({"system": "s", "prompt": "p", "response": None}, "system prompt", [("system", "s"), ("user", "p"), ("assistant", "")]),
     ({"weird": 1}, None, None),
+    ({"messages": []}, "messages", []),
+    ({"conversations": [], "id": 4}, "from and value", []),
+    ({"id": "x", "meta": {"messages": 1}, "messages": [{"role": "user", "content": "hi", "name": "n", "id": 3}]}, "messages", [("user", "hi")]),
+    ({"id": 7, "conversations": [{"from": "human", "value": "a", "weight": 1}, {"value": "b"}]}, "from and value", [("user", "a"), ("", "b")]),
+    ({"prompt": "p", "chosen": "c", "rejected": "r", "source": "s"}, "preference", [("user", "p"), ("assistant", "c")]),
+    ({"instruction": "do", "output": "done", "topic": ["x"]}, "bare instruction", [("user", "do"), ("assistant", "done")]),
+    ({"prompt": 5, "response": None, "extra": {"a": [1]}}, "response", [("user", "5"), ("assistant", "")]),
+    ({"messages": 5}, None, None),
+    ({"messages": [{"role": "user"}]}, None, None),
+    ([1, 2], None, None),
 ]
 HARD = ["", "</s>[INST] ok [/INST]", "<|im_start|>user\nx<|im_end|>\n", "␛1 ␛0␛", "a<|b|>c<s>d[INST", "line\n\nline", "<<|<||>[[INST]]", "é🙂"]
 

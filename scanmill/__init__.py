@@ -2,6 +2,7 @@
 
 from scanmill.config import BEV, MODELS, Bev, SensorModel, SensorMount, sensor_model
 from scanmill.plans.dataset import build_dataset, to_obb_samples, write_dataset
+from scanmill.sources.runs import compact, read_output
 
 __all__ = [
     "BEV",
@@ -10,6 +11,8 @@ __all__ = [
     "SensorModel",
     "SensorMount",
     "build_dataset",
+    "compact",
+    "read_output",
     "sensor_model",
     "to_obb_samples",
     "write_dataset",

@@ -12,7 +12,9 @@ the first occupied voxel of each ray.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import cos, pi, radians, sqrt, tan
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +126,18 @@ def _offset_points(points: DataFrame, model: SensorModel, voxel_size: float, pre
     return seen.filter(_may_be_seen(model, voxel_size)).drop("yaw").filter(_step() > 0)
 
 
+def _beside_a_mount(model: SensorModel, voxel_size: float) -> Column:
+    """Necessary condition on a point to lie within the far end of NEAR: a box around each mount, with two cells to spare.
+
+    It only looks at coordinates, so it reaches the scan of the cloud, and the near field costs no second unfolding of all points."""
+    reach = (NEAR[1] + 2) * voxel_size
+    boxes = (
+        reduce(and_, (F.col(a).between(float(v) - reach, float(v) + reach) for a, v in zip("xyz", (m.x, m.y, m.z))))
+        for m in model.mounts
+    )
+    return reduce(or_, boxes)
+
+
 def _rays_through(seen: DataFrame, rays: DataFrame, kept: tuple[str, ...]) -> DataFrame:
     """Rows of ``seen`` (``kept``, mount, ox, oy, oz) with every ray whose walk visits their voxel, and at which step."""
     # A walk's driving axis has the largest offset at every step; on a tie several axes qualify.
@@ -187,12 +201,13 @@ def first_candidates(
     seen = _offset_points(points, model, voxel_size, precision)
     near = _step().between(*NEAR)
     others = _rays_through(seen.filter(~near), rays, (*FRAME, *POINT))
+    beside = _offset_points(points.filter(_beside_a_mount(model, voxel_size)), model, voxel_size, precision).filter(near)
     cell = ("mount", "ox", "oy", "oz")
-    voxels = seen.filter(near).select(*FRAME, *cell).distinct()
+    voxels = beside.select(*FRAME, *cell).distinct()
     found = _rays_through(voxels.withColumn("m", F.col("mount")), rays, (*FRAME, "m", "ox", "oy", "oz"))
     first = found.groupBy("frame_index", "ray_id", "sensor", "sequence").agg(F.min_by(F.struct("m", "ox", "oy", "oz", "step", *RAY), "step").alias("v"))
     first = first.select(*SCAN_KEYS, "ray_id", F.col("v.m").alias("mount"), *[f"v.{c}" for c in ("ox", "oy", "oz", "step", *RAY)])
-    paired = seen.filter(near).join(first, [*FRAME, *cell]).select(*FRAME, *POINT, "sensor", "ray_id", "step", *RAY)
+    paired = beside.join(first, [*FRAME, *cell]).select(*FRAME, *POINT, "sensor", "ray_id", "step", *RAY)
     return _measured(others.unionByName(paired))
 
 

@@ -71,20 +71,22 @@ class Aligner:
                     continue
                 a, b = self.a.ids(" " + text), next(of_b)
                 data = b" " + text.encode()
-                of_a = self.a.bytes_of
                 try:
-                    same = b"".join([self.b_bytes[i] for i in b]) == data and b"".join([of_a[i] for i in a]) == data
+                    same = b"".join(map(self.b_bytes.__getitem__, b)) == data
                 except TypeError:  # an id without bytes
                     same = False
-                yield (np.array(a, np.int64), np.array(b, np.int64)) if same else None
+                a, b = (np.fromiter(x, np.int64, len(x)) for x in (a, b))
+                # A byte-level vocabulary only cuts the text's bytes, so their number tells whether any are missing.
+                yield (a, b) if same and self.a_sizes[a].sum() == len(data) else None
 
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, str]:
         """(A ids, B ids, groups, text of the groups): one entry for each pair of token occurrences whose byte ranges overlap.
 
         Every end of a token closes one stretch of bytes that lies in one A and one B token, and each overlap is one stretch."""
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        ends = np.union1d(a_ends, b_ends)
-        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two sorted runs: a merge
+        twice = ends[1:] == ends[:-1]
+        common, ends = ends[1:][twice], ends[np.r_[True, ~twice]]
         key = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
         order = np.argsort(key, kind="stable")
         key = key[order]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -62,6 +63,13 @@ class Scratch:
         _delete(self.spark, self.folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of tables that are written: it does so only when the driver has collected the plans that
+    made them, which a driver with room to spare puts off for half an hour. For operators of many shuffling steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

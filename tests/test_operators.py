@@ -57,6 +57,16 @@ def test_box_of_any_size_counts_every_point_once(spark):
     assert counts[0] == 500 and counts.get(1, 0) == inside > 0
 
 
+def test_boxes_are_never_broadcast(spark):
+    """Small tables in files: unfolded over mounts and tiles, boxes are many more than their files let expect."""
+    scan = checkpoints.written(scan_of(spark, ring(0, 10.0, 4)))
+    boxes = checkpoints.written(spark.createDataFrame([("s", 0, 0, 10.0, 0.0, 0.0, 2.0, 2.0, 2.0, 0.3, 1, "a")], BOX))
+    kept = box_filter.kept_boxes(scan, boxes, RIG)
+    assert kept.count() == 1
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_view_is_about_the_centre_only_and_wraps(spark):
     rig = SensorModel("r", (SensorMount("back", 0.0, 0.0, 0.0, 180.0),), 80.0, -72.5, 72.5, (0.0,), azimuth_steps=2)
     boxes = spark.createDataFrame(

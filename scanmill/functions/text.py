@@ -20,9 +20,17 @@ def sample_stem(sample_index: Column) -> Column:
     return F.format_string("%07d", sample_index)
 
 
+def _six(value: Column) -> Column:
+    """Half away from zero in double arithmetic. The built-in round asks the shortest decimal form instead, which may lie on the
+    other side of a half; it is left for values too large to be scaled, and for those that are no numbers."""
+    whole = F.floor(F.abs(value) * 1e6 + 0.5)
+    near = F.when(value < 0, -whole).otherwise(whole) / F.lit(1e6)
+    return F.when(F.abs(value) < 1e9, near).otherwise(F.round(value, 6))
+
+
 def six_decimals(*values: Column) -> list[Column]:
     """Rounded first and with -0.0 removed, so the text never reads -0.000000."""
-    return [F.round(v, 6) + F.lit(0.0) for v in values]
+    return [_six(v) + F.lit(0.0) for v in values]
 
 
 def label_line(x: Column, y: Column, z: Column, length: Column, width: Column, height: Column,

@@ -194,6 +194,13 @@ def test_plane_bounds_follow_rows_and_columns(spark):
     assert got == (True, False, False, False)
 
 
+def test_six_decimals_are_rounded_in_doubles(spark):
+    """Halves whose shortest decimal form lies on the other side, as x / 102.4 gives them."""
+    values = (0.16615749999999999, 0.5200075, -0.2594875, 2.5e9, math.inf)
+    got = one(spark, *text.six_decimals(*lits(*values)))
+    assert got == (0.166158, 0.520007, -0.259487, 2.5e9, math.inf)
+
+
 def test_label_line_text(spark):
     line = text.label_line(*lits(20.08072, -4.460201, 0.926611, 1.144897, 1.002529, 1.76, -0.0000001, "Pedestrian"))
     stem = text.frame_stem(*lits("seq", "front_left", 7))

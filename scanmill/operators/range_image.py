@@ -49,8 +49,10 @@ def range_image_points(
     out = ("sequence", "frame_index", "laser", "ret", "idx")
     xyz = [F.col(a) for a in "xyz"]
     if posed:
-        poses = frames.select("sequence", "frame_index", "pose")
-        placed = placed.join(poses, ["sequence", "frame_index"], "left").filter(~F.col("in_world") | F.col("pose").isNotNull())
+        # Only pixels in the world look for their frame: the others stay one row each, whatever the frame table holds.
+        poses = frames.select(F.col("sequence").alias("_sequence"), F.col("frame_index").alias("_frame"), "pose")
+        own = (F.col("sequence") == F.col("_sequence")) & (F.col("frame_index") == F.col("_frame")) & F.col("in_world")
+        placed = placed.join(poses, own, "left").filter(~F.col("in_world") | F.col("pose").isNotNull())
         back = apply_motion(inverse(motion_of(F.col("pose"))), *xyz)
         xyz = [F.when(F.col("in_world"), b).otherwise(v) for b, v in zip(back, xyz)]
     return placed.select(*out, *[v.cast("float").alias(a) for a, v in zip("xyz", xyz)], "intensity")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanmill.config import BEV, MODELS, Bev, SensorModel, SensorMount
+from scanmill.functions import boxes as box_fn
 from scanmill.operators import box_filter, fusion, history, labels, range_image, rasters, samples, sensor_frame, splits
 from scanmill.operators import raster_tiles, tracks, voxel_groups
 from scanmill.sources import checkpoints
@@ -67,6 +68,14 @@ def test_boxes_are_never_broadcast(spark):
     assert "BroadcastExchange" not in plan and "ShuffledHashJoin" in plan
 
 
+def test_corners_of_equal_lines_are_ordered_together(spark):
+    """Angles of all corners, so that boxes which share a line can be merged by them."""
+    square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((1, 1), (-1, 1), (-1, -1), (1, -1))])
+    ordered = spark.range(1).select(F.inline(box_fn.corner_angles(square))).collect()
+    assert [(r.p.x, r.p.y) for r in ordered] == [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    assert [round(r.angle / (math.pi / 4)) for r in ordered] == [-3, -1, 1, 3]
+
+
 def test_view_is_about_the_centre_only_and_wraps(spark):
     rig = SensorModel("r", (SensorMount("back", 0.0, 0.0, 0.0, 180.0),), 80.0, -72.5, 72.5, (0.0,), azimuth_steps=2)
     boxes = spark.createDataFrame(
@@ -212,6 +221,12 @@ def test_split_sampling_draws_before_the_existence_test(spark):
         splits.check_split("dev")
 
 
+def test_a_name_listed_again_is_left_over_as_often_as_it_was_not_drawn(spark):
+    listed = spark.createDataFrame([("train", "a"), ("train", "a"), ("train", "a"), ("train", "b")], "split string, sequence string")
+    drawn = spark.createDataFrame([("train", "a")], "split string, sequence string")
+    assert sorted(r.sequence for r in splits.left_over(drawn, listed).collect()) == ["a", "a", "b"]
+
+
 def test_sensor_requests():
     assert splits.requested_sensors(["all"]) == sorted(splits.SENSOR_NAMES)
     assert splits.requested_sensors(["rear_left", "front_left"]) == ["rear_left", "front_left"]

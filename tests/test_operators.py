@@ -178,6 +178,25 @@ def test_overlap_uses_the_last_non_empty_scan(spark):
         assert cells[(4, 160, 511)] == (0, 0, value) and len(cells) == 15
 
 
+def test_motions_that_lead_far_from_the_plane_are_left_out(spark):
+    """Two frames share a key a kilometre apart: of four motions two stay."""
+    scan = scan_of(spark, [("s", f, "m", i, 10.0 + i, 0.0, 0.0, 0.1) for f in (0, 1) for i in range(3)])
+    pose = lambda x: [float(v) for v in EYE[:3]] + [x] + [float(v) for v in EYE[4:]]
+    frames = spark.createDataFrame([("s", f, f * 100_000, pose(x)) for f in (0, 1) for x in (0.0, 1000.0)],
+                                   "sequence string, frame_index int, timestamp_micros long, pose array<double>")
+    assert rasters.previous_in_current(scan, frames, RIG).count() == 12
+    assert rasters.previous_in_current(scan, frames, RIG, origin="edge").count() == 6
+
+
+def test_tiles_give_their_columns_to_their_pixels(spark):
+    pixels = spark.createDataFrame([("s", 0, "m", x, y, 1, 2, 3) for x, y in ((3, 0), (4, 0), (7, 9), (0, 1023))],
+                                   "sequence string, frame_index int, sensor string, px int, py int, b short, g short, r short")
+    packed = raster_tiles.raster_tiles(pixels)
+    rows = raster_tiles.tile_pixels(packed, "n_pixels", F.hex("occupied").alias("occupied")).collect()
+    assert sorted((r.px, r.py) for r in rows) == [(0, 1023), (3, 0), (4, 0), (7, 9)]
+    assert {(r.n_pixels, r.occupied) for r in rows} == {(4, "8040" + "00" * 125 + "01")}
+
+
 def test_previous_scan_keeps_values_where_both_paint(spark):
     scan = scan_of(spark, [("s", f, "m", 0, BEV.padding + 20.05 - f, 0.05, 0.5 * f, 0.0) for f in (0, 1)])
     cells = {(r.px, r.py): (r.g, r.r) for r in rasters.raster(scan, frames_of(spark, [(0, 0), (1, 1)]), RIG, "overlap_height").filter("frame_index = 1").collect()}

@@ -151,3 +151,10 @@ def test_plan_has_no_voxel_shuffle_of_points(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     # Points and near voxels look up the rays; only points next to a mount meet the first voxels of rays.
     assert plan.count("BroadcastExchange") >= 1 and plan.count("WindowGroupLimit") == 2
+
+
+def test_near_pairs_of_rays_and_voxels_are_counted_as_numbers(spark):
+    """Their grouping hashes whole numbers; a struct would be sorted, with every ray's place in it."""
+    cloud = spark.createDataFrame([("s", 0, 1, 4.5, -0.1, 0.35)], "sequence string, frame_index int, point_ord long, x double, y double, z double")
+    plan = first_hit.first_hits(cloud, MODELS["scala"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

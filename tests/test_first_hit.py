@@ -158,3 +158,11 @@ def test_near_pairs_of_rays_and_voxels_are_counted_as_numbers(spark):
     cloud = spark.createDataFrame([("s", 0, 1, 4.5, -0.1, 0.35)], "sequence string, frame_index int, point_ord long, x double, y double, z double")
     plan = first_hit.first_hits(cloud, MODELS["scala"])._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_filters_beside_a_mount_read_coordinates_as_values(spark):
+    """Coordinates that are expressions are not worked out anew in each comparison of the near field's boxes."""
+    far = cloud(spark, [(20.0, 0.1, 0.3, 0.5)]).withColumns({a: F.cbrt(a) for a in "xyz"})
+    plan = first_hit.first_hits(far, MODELS["scala"])._jdf.queryExecution().optimizedPlan().toString()
+    counts = [line.count("CBRT(") for line in plan.splitlines() if "Filter " in line]
+    assert "CBRT(" in plan and max(counts) <= 3

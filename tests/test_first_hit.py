@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from scanmill.config import MODELS, SensorModel, SensorMount, sensor_model
 from scanmill.operators import first_hit
-from scanmill.operators.rays import ray_cells, ray_table, sensor_table
+from scanmill.operators.rays import ray_cells, ray_table, sensor_table, walked
 from scanmill.operators.voxel_groups import with_voxel
 
 POINT = "sequence string, frame_index int, point_ord long, x double, y double, z double, intensity float"
@@ -166,3 +166,18 @@ def test_filters_beside_a_mount_read_coordinates_as_values(spark):
     plan = first_hit.first_hits(far, MODELS["scala"])._jdf.queryExecution().optimizedPlan().toString()
     counts = [line.count("CBRT(") for line in plan.splitlines() if "Filter " in line]
     assert "CBRT(" in plan and max(counts) <= 3
+
+
+def test_equal_walks_are_walked_once(spark):
+    """Totals of repeated rays, of rays that share an end and of one without cells equal those over every ray's own cells."""
+    ends = [(1, 2, 0, 9, 4, -3), (2, 2, 0, 9, 4, -3), (3, 0, 0, 9, 4, -3), (4, 2, 0, -5, 5, 0), (5, 2, 0, 0, 0, 0), (2, 2, 0, 9, 4, -3)]
+    rays = spark.createDataFrame([(*e[:3], 7, *e[3:], max(map(abs, e[3:]))) for e in ends], "id int, v0x int, v0y int, v0z int, dx int, dy int, dz int, length int")
+    totals = {"n": F.count(F.lit(1)), "last": F.max(F.struct("step", "vx", "vy", "vz")), "sum": F.sum(F.col("vy") * F.col("step"))}
+    walks = walked(rays, **totals)
+    per_id = ray_cells(rays.distinct()).groupBy("id").agg(*[v.alias(n) for n, v in totals.items()])
+    want = {r.id: (r.n, r.last, r["sum"]) for r in per_id.collect()}
+    got = [(r.id, (r.n, r.last, r["sum"])) for r in walks.collect()]
+    assert sorted(i for i, _ in got) == [1, 2, 2, 3, 4] and all(want[i] == v for i, v in got)
+    plan = walks._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert any("Aggregate [v0x" in line for line in plan[explode:])

@@ -188,6 +188,13 @@ def test_motions_that_lead_far_from_the_plane_are_left_out(spark):
     assert rasters.previous_in_current(scan, frames, RIG, origin="edge").count() == 6
 
 
+def test_pixels_are_worked_out_before_they_are_filtered(spark):
+    """The bounds of the plane compare whole pixels; the turn into the sensor's frame is not repeated in each comparison."""
+    painted = rasters.raster(scan_of(spark, ring(0, 10.0, 4)), frames_of(spark, [(0, 0)]), RIG, "height")
+    plan = painted._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("rint(" in line for line in plan) and not [line for line in plan if "Filter " in line and "rint(" in line]
+
+
 def test_tiles_give_their_columns_to_their_pixels(spark):
     pixels = spark.createDataFrame([("s", 0, "m", x, y, 1, 2, 3) for x, y in ((3, 0), (4, 0), (7, 9), (0, 1023))],
                                    "sequence string, frame_index int, sensor string, px int, py int, b short, g short, r short")

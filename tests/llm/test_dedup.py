@@ -206,3 +206,29 @@ def test_cells_never_refuse_a_near_copy():
             a, b = both[: n - rng.integers(0, n // 9 + 1)], both[rng.integers(0, n // 9 + 1) :]
             cells = [np.frombuffer(near_copies.cells_of(np.unique(x)), np.uint8).astype(int) for x in (a, b)]
             assert not near_copies.alike(np.unique(a), np.unique(b)) or 9 * np.abs(cells[0] - cells[1]).sum() <= len(a) + len(b)
+
+
+def test_odd_cells_refuse_no_near_copy_and_most_texts_that_share_half():
+    rng = np.random.default_rng(6)
+    refused = by_cells = 0
+    for n in (*[1400] * 40, 1, 2, 500, 520, 2000, 70_000):
+        for share in (0.5, 0.8, 0.95, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            kept = a[: max(1, int(2 * len(a) * share / (1 + share)))]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, rng.integers(0, n // 8 + 2) if share > 0.5 else n - len(kept), np.uint64)]))
+            least = near_copies.apart(near_copies.odd_cells(a), near_copies.odd_cells(b))
+            assert least == near_copies.apart(near_copies.odd_cells(b), near_copies.odd_cells(a)) <= len(np.setxor1d(a, b))
+            assert not near_copies.alike(a, b) or 9 * least <= len(a) + len(b)
+            if share == 0.5 and n == 1400:
+                cells = [np.frombuffer(near_copies.cells_of(x), np.uint8).astype(int) for x in (a, b)]
+                refused += 9 * least > len(a) + len(b)
+                by_cells += 9 * np.abs(cells[0] - cells[1]).sum() > len(a) + len(b)
+    assert refused == 40 and by_cells < 40
+
+
+def test_marked_texts_hold_every_listed_one(spark):
+    texts = spark.range(5000).select(F.xxhash64("id").alias("near_id"), F.col("id").cast("string").alias("text"))
+    ids = texts.filter("pmod(near_id, 7) = 0").select("near_id")
+    kept = near_copies._marked(texts, ids)
+    assert kept.join(ids, "near_id", "left_semi").count() == ids.count() <= kept.count() < 1000
+    assert near_copies._marked(texts, ids.limit(0)).count() == 0

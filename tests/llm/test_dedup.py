@@ -232,3 +232,18 @@ def test_marked_texts_hold_every_listed_one(spark):
     kept = near_copies._marked(texts, ids)
     assert kept.join(ids, "near_id", "left_semi").count() == ids.count() <= kept.count() < 1000
     assert near_copies._marked(texts, ids.limit(0)).count() == 0
+
+
+def test_pipeline_sends_texts_to_python_in_small_batches(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = frame(spark, list(enumerate(["one two three", "One two three", None])))
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+            spark.conf.set(key, given)
+            assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)

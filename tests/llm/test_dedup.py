@@ -263,3 +263,27 @@ def test_texts_of_a_common_passage_make_no_pairs_before_their_texts_are_read(spa
         found = {(r.a, r.b) for r in near_copies._other_pairs(open_, sizes, keep).collect()}
     assert {(i, j) for i, j in brute_alike(texts)[1]} <= found
     assert len(found) < 30
+
+
+def test_copies_of_one_text_are_linked_by_it_before_pairs_are_made(spark, monkeypatch):
+    """Copies are near the text they come from and mostly not near each other, so a lead by hash links few of them."""
+    rng = random.Random(22)
+    base = words(rng, 200, 4000).split()
+    texts = [" ".join(base)]
+    for k in range(60):
+        own = list(base)
+        for at in (10, 90, 170):
+            own[at + rng.randrange(20)] = f"own{k}-{at}"
+        texts.append(" ".join(own))
+    made, pairs = [], near_copies._other_pairs
+
+    def counted(*given):
+        made.append(pairs(*given).distinct().count())
+        return pairs(*given)
+
+    monkeypatch.setattr(near_copies, "_other_pairs", counted)
+    roots, links = brute_alike(texts)
+    assert set(roots) == {roots[0]} and len(links) < 600
+    found = near_copies.text_components(frame(spark, list(enumerate(texts)))).collect()
+    assert len(found) == 61 and len({r.near_component for r in found}) == 1
+    assert made == [0]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scanmill.llm import decontamination, language_mixture, packing, pseudonyms
-from scanmill.llm.queries import pii_key
+from scanmill.llm.queries import QUERIES, pii_key
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, words string"
@@ -270,6 +270,19 @@ def test_pseudonyms_as_tables(spark):
         pseudonyms.replaced(b"short")
 
 
+def test_long_texts_are_read_and_sent_in_small_batches(spark, tmp_path):
+    """Four thousand texts of a hundred kilobytes don't fit an executor at once."""
+    docs(spark, [(1, "mail a.b1@c2.org", "en")]).write.parquet(f"{tmp_path}/documents.parquet")
+    bounds = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
+    before = {key: spark.conf.get(key) for key in bounds}
+    try:
+        assert QUERIES["op5_feistel_pseudonyms"](spark, str(tmp_path)).collect()[0].n_values == 1
+        assert all(0 < int(spark.conf.get(key)) <= most for key, most in bounds.items())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 # ---------------------------------------------------------------- packing
 
 ODD = ["", "Straße don't 12%%% x<|endoftext|>y", "ΟΔΟΣ Σ", "été deja vu", "a\x1cb\x85c d", "İstanbul", "we'll it's THE'S ﬁ ǅ", "日本語 テキスト", "🙂🙂 ok", " nbsp　"]

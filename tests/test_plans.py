@@ -112,6 +112,34 @@ def test_compacting_keeps_what_counts(spark, grown):
     assert runs.drop_superseded(spark, root) == sorted(runs.drop_superseded(spark, root))
 
 
+def test_listings_of_one_name_are_finished_and_redone_on_their_own(spark, inputs, tmp_path):
+    """Rows once for each listing, under its split, and from its latest call; rasters once for each split; frames that share a key once."""
+    frames, points, boxes = inputs
+    root, name, few = str(tmp_path), "segment-0000", ["front_center"]
+    outputs = ["points_1f", "images_height", "gt_2f"]
+    listed = spark.createDataFrame([("train", name, 1), ("val", name, 2), ("train", name, 3)], "split string, sequence string, listing long")
+    scanmill.write_dataset(frames.unionByName(frames), points, boxes, MODELS["scala"], listed, root, outputs, few)
+    stronger = points.withColumn("intensity", F.col("intensity") + 1)
+    scanmill.write_dataset(frames, stronger, boxes, MODELS["scala"], listed.filter("listing = 3"), root, outputs, few)
+    scanmill.write_dataset(frames, points, boxes, MODELS["scala"], spark.createDataFrame([("train", "segment-0001")], "split string, sequence string"), root, outputs, few)
+
+    def counts():
+        got = runs.read_output(spark, root, "points_1f").groupBy("sequence", "listing", "split").agg(F.count(F.lit(1)).alias("n"), F.min("intensity").alias("least"))
+        return {(r.sequence, r.listing, r.split): (r.n, r.least >= 1) for r in got.collect()}
+
+    first = counts()
+    n = first[name, 1, "training"][0]
+    assert first.pop(("segment-0001", None, "training"))[0] > 0
+    assert first == {(name, 1, "training"): (n, False), (name, 2, "validation"): (n, False), (name, 3, "training"): (n, True)}
+    pixels = runs.read_output(spark, root, "images_height")
+    assert "listing" not in pixels.columns and pixels.count() == pixels.distinct().count()
+    records = runs.read_output(spark, root, "gt_2f").filter(F.col("sequence_name") == name).groupBy("listing").count().collect()
+    assert {r.listing for r in records} == {1, 2, 3} and len({r["count"] for r in records}) == 1
+    kept = counts()
+    runs.compact(spark, root, outputs)
+    assert counts() == kept
+
+
 def test_writers_keep_the_folders_of_other_splits(spark, tmp_path):
     path = str(tmp_path / "lines")
     for split in ("training", "validation"):

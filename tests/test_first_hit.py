@@ -95,6 +95,27 @@ def test_first_candidates_keep_every_first_hit(spark, name):
     assert top(every) == top(few) and few.count() < every.count() / 2
 
 
+@pytest.mark.parametrize("name", ["scala", "scala2"])
+def test_hits_by_frame_are_the_same_and_their_pairs_stay(spark, name):
+    """Points close to the mounts and far from them, some in one voxel; what is shuffled by frame is points and far hits."""
+    model = MODELS[name].select(["front_left", "front_center"])
+    rng = np.random.default_rng(7)
+    mount = np.array([[m.x, m.y, m.z] for m in model.mounts])[rng.integers(0, 2, 1500)]
+    r, az = rng.choice([0.2, 0.9, 4.0, 30.0], 1500) * rng.uniform(0.8, 1.2, 1500), np.radians(rng.uniform(-60, 100, 1500))
+    xyz = mount + np.stack([r * np.cos(az), r * np.sin(az), r * rng.uniform(-0.05, 0.05, 1500)], -1)
+    m = model.mounts[1]
+    out = [(m.x + 30 * math.cos(math.radians(a)), m.y + 30 * math.sin(math.radians(a)), m.z + 30 * math.tan(math.radians(e))) for a in range(0, 40) for e in model.elevations_deg]
+    points, beyond = (cloud(spark, [(*map(float, p), 0.5) for p in np.round(ps, 6)]) for ps in (np.concatenate([xyz, xyz[:200] + 0.003]), out))
+    points = points.unionByName(beyond.withColumn("frame_index", F.lit(1)))
+    hits = {b: first_hit.first_hits(points, model, by_frame=b) for b in (False, True)}
+    a, b = ({tuple(r) for r in h.select("frame_index", "sensor", "ray_id", "step", "point_ord", "x", "intensity").collect()} for h in hits.values())
+    assert a == b and len({r[3] for r in a if r[3] < 3}) > 0 and any(r[3] > 64 for r in a)
+    plan = hits[True]._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("REPARTITION_BY_NUM" not in line for line in shuffles) == 1, "first hits beyond the close field only"
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def winner(spark, rows):
     return first_hit.first_hits(cloud(spark, rows), ONE_RAY).select("step", "point_ord").collect()
 
